@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +13,31 @@ from chronoloom.session import prepare
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Scan ``name`` (only ``columns``, where given) with NaN as NULL."""
-    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if split_streams(path):
+        spark.conf.set("spark.sql.parquet.enableVectorizedReader", "false")
+    df = prepare(spark).read.parquet(path)
     if columns:
         df = df.select(*columns)
     return nan_to_null(df)
 
 
+def split_streams(path: str) -> bool:
+    """Whether a file may hold BYTE_STREAM_SPLIT pages, which Spark's vectorized Parquet reader can't decode (its row reader can).
+
+    The first footer of a local path is read; of other paths nothing is known, so they count as holding them.
+    """
+    if not os.path.exists(path):
+        return True
+    if os.path.isdir(path):
+        parts = sorted(p for p in os.listdir(path) if p.endswith(".parquet"))
+        if not parts:
+            return False
+        path = os.path.join(path, parts[0])
+    meta = pq.ParquetFile(path).metadata
+    return any("BYTE_STREAM_SPLIT" in meta.row_group(0).column(i).encodings for i in range(meta.num_columns)) if meta.num_row_groups else False
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     doubles = [c for c, kind in df.dtypes if kind in ("double", "float")]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles}) if doubles else df
