@@ -7,8 +7,8 @@ if all of its shingles are among those, so the required overlap equals its own n
 single rarest shingle. Evaluation prefixes are indexed: of all shingles of an evaluation record only those are kept that can be
 the rarest of a matching training record (the positional filter). Candidates are verified exactly.
 
-The order of shingles is the number of training records in their (class, probability cell), a table of at most
-``4 * (1 / cell + 2)`` rows, which bounds its broadcast; any total order gives the same result. Each training record is
+The order of shingles is the number of training records in their (class, probability cell), a table of 4 x 28 numbers
+whatever the input; any total order gives the same result. Each training record is
 shuffled once, each evaluation record a few times, by asset, action, time and probability together, so that an asset or a
 model repeating one output doesn't make a hot key.
 
@@ -39,32 +39,41 @@ def records(rows: DataFrame) -> DataFrame:
     return whole.select("row_id", "stage_split", "asset_id", "action_key", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), *(F.col(c).alias(f"p{j}") for j, c in enumerate(probs)))
 
 
-def rarity(train: DataFrame) -> DataFrame:
-    """The order of shingles as one row: an array a class of (probability cell, rank), rare cells first."""
-    cells = train.select(F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _cell(F.col(f"p{j}")).alias("c")) for j in range(CLASSES)))).alias("s")).groupBy("s").count()
-    return cells.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "s.j", "s.c"), (F.col("count") * 1_000_000 + F.col("s.j") * 100_000 + F.col("s.c")).cast("long")))).alias("rank"))
+def _place(cell: Column) -> Column:
+    """Position of a cell in the table of ranks; cells beyond 0..1 share the first and the last place."""
+    return F.least(F.greatest(cell, F.lit(-1)), F.lit(PLACES - 2)) + 2
 
 
-def _rank(j: int, cell: Column) -> Column:
-    """Rank of a shingle: cells that no training record lies in rank behind all others."""
-    return F.coalesce(F.try_element_at("rank", F.concat_ws(":", F.lit(j), cell)), F.lit(2**62) + j * 100_000 + cell)
+PLACES = int(1 / PROB_CELL) + 3
+
+
+def rarity(train: DataFrame) -> list[list[int]]:
+    """Training records by class and probability cell: the order of shingles, CLASSES x PLACES numbers whatever the input."""
+    shingles = train.select(F.posexplode(F.array(*(_place(_cell(F.col(f"p{j}"))) for j in range(CLASSES)))).alias("j", "place"))
+    table = [[0] * (PLACES + 1) for _ in range(CLASSES)]
+    for j, place, n in shingles.groupBy("j", "place").count().collect():
+        table[j][place - 1] = n
+    return table
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
     """One row per pair of a training and an evaluation record that are the same or nearly so, with split and asset."""
     found = records(rows)
     train, held = found.where("stage_split = 'train'"), found.where("stage_split in ('valid', 'test')")
-    order = F.broadcast(rarity(train))
+    order = [F.array(*map(F.lit, row)) for row in rarity(train)]
     probs = [F.col(f"p{j}") for j in range(CLASSES)]
 
+    def _rank(j: int, cell: Column) -> Column:
+        return F.element_at(order[j], _place(cell))
+
     own = F.array(*(F.struct(_rank(j, _cell(p)).alias("r"), F.lit(j).alias("j"), _cell(p).alias("c")) for j, p in enumerate(probs)))
-    probe = train.crossJoin(order).withColumn("s", F.array_min(own)).withColumn("t", F.floor(F.col("at") / TIME_CELL))
+    probe = train.withColumn("s", F.array_min(own)).withColumn("t", F.floor(F.col("at") / TIME_CELL))
     probe = probe.select("asset_id", "action_key", "t", "s.j", "s.c", F.col("row_id").alias("train_id"), F.col("at").alias("train_at"), *(F.col(f"p{j}").alias(f"q{j}") for j in range(CLASSES)))
 
     ends = [[_cell(p - F.lit(NEAR + SLACK)), _cell(p + F.lit(NEAR + SLACK))] for p in probs]
     reach = F.least(*(F.greatest(*(_rank(j, c) for c in two)) for j, two in enumerate(ends)))
     every = F.array_distinct(F.flatten(F.array(*(F.array(*(F.struct(_rank(j, c).alias("r"), F.lit(j).alias("j"), c.alias("c")) for c in two)) for j, two in enumerate(ends)))))
-    index = held.crossJoin(order).withColumn("reach", reach).withColumn("every", every).withColumn("s", F.explode(F.filter("every", lambda s: s["r"] <= F.col("reach"))))
+    index = held.withColumn("reach", reach).withColumn("every", every).withColumn("s", F.explode(F.filter("every", lambda s: s["r"] <= F.col("reach"))))
     times = F.array_distinct(F.array(F.floor((F.col("at") - HALF_BAR + 1) / TIME_CELL), F.floor((F.col("at") + HALF_BAR - 1) / TIME_CELL)))
     index = index.select("asset_id", "action_key", F.explode(times).alias("t"), "s.j", "s.c", F.col("row_id").alias("held_id"), F.col("stage_split"), F.col("at").alias("held_at"), *(f"p{j}" for j in range(CLASSES)))
 
