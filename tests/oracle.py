@@ -19,7 +19,7 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v: object) -> object:
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if hasattr(v, "item"):
         v = v.item()
@@ -28,7 +28,7 @@ def _cell(v: object) -> object:
     if isinstance(v, bool):
         return v
     if isinstance(v, (int, float)):
-        return float(f"{float(v):.9g}")
+        return float(f"{float(v):.9g}") + 0.0
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).isoformat()
     return str(v)
