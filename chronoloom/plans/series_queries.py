@@ -249,7 +249,7 @@ def e26_fractional_difference(spark, d):
     return _pick(_bars(spark, d), ("ffd", sum(terms[1:], terms[0])))
 
 
-@query(B + f"select symbol, ts, round(case when count(ret) {_over(30)} >= 10 then avg(ret) {_over(30)} / nullif(stddev_samp(ret) {_over(30)}, 0) end, 6) as sharpe from x")
+@query(B + f"select symbol, ts, round(case when count(ret) {_over(30)} >= 10 then avg(ret) {_over(30)} / nullif(stddev_samp(ret) {_over(30)}, 0) end, 6) + 0.0 as sharpe from x")
 def e28_rolling_sharpe(spark, d):
     w = trailing(30)
     return _pick(_ret(spark, d), ("sharpe", F.when(F.count("ret").over(w) >= 10, div(F.avg("ret").over(w), nz(F.stddev_samp("ret").over(w))))))
@@ -312,31 +312,38 @@ def g01_forward_distances(spark, d):
     return _pick(_bars(spark, d), ("up_mean", F.avg("high").over(_ahead()) / c - 1), ("down_mean", 1 - F.avg("low").over(_ahead()) / c), ("up_top", _top("high", True) / c - 1), ("down_top", 1 - _top("low", False) / c))
 
 
-_G4 = "case when up is null or dn is null then -1 when up >= dn then case when up > 2.1 * greatest(dn, 1e-9) then 3 else 2 end else case when dn > 2.5 * greatest(up, 1e-9) then 1 else 0 end end"
+_DIST = f"""a as (select symbol, ts, close, list(high) {_AHEAD} as hs, list(low) {_AHEAD} as ls from x),
+m as (select symbol, ts, (list_avg(hs) - close) / close * 100 as ah, (close - list_avg(ls)) / close * 100 as al, (list_avg(list_sort(hs, 'DESC')[1:greatest(1, floor(len(hs) * 0.05)::int)]) - close) / close * 100 as th, (close - list_avg(list_sort(ls)[1:greatest(1, floor(len(ls) * 0.05)::int)])) / close * 100 as bl from a),
+k as (select *, al < 0 as bu, ah < 0 as bd from m),
+r as (select *, case when bu then true when bd then false else ah > al end as up, (case when bu then th > 2.1 when bd then false else th / (ah + 1e-10) > 2.5 end) or (case when bd then bl > 2.1 when bu then false else bl / (al + 1e-10) > 2.5 end) as risky from k),
+l as (select symbol, ts, case when ah is null then -1 when up then case when risky then 3 else 2 end else case when risky then 1 else 0 end end as label from r)"""
 
 
-@query(B + f", a as (select symbol, ts, avg(high) {_AHEAD} / close - 1 as up, 1 - avg(low) {_AHEAD} / close as dn from x), l as (select symbol, ts, {_G4} as label from a) select symbol, ts, label, case label when 3 then 'UP_EXPANSION' when 2 then 'UP_BALANCED' when 1 then 'DOWN_EXPANSION' when 0 then 'DOWN_BALANCED' end as name, case when (epoch_us(ts) % 28800000000) >= 14400000000 then -1 else label end as gated from l")
+@query(B + f", {_DIST} select symbol, ts, label, case label when 3 then 'UP_EXPANSION' when 2 then 'UP_BALANCED' when 1 then 'DOWN_EXPANSION' when 0 then 'DOWN_BALANCED' else 'INVALID' end as name, case when (epoch_us(ts) % 28800000000) >= 14400000000 then -1 else label end as gated from l")
 def g04_four_class_label(spark, d):
-    a = _bars(spark, d).select("symbol", "ts", (F.avg("high").over(_ahead()) / F.col("close") - 1).alias("up"), (1 - F.avg("low").over(_ahead()) / F.col("close")).alias("dn"))
-    up, dn, tiny = F.col("up"), F.col("dn"), F.lit(1e-9)
-    label = F.when(up.isNull() | dn.isNull(), -1).when(up >= dn, F.when(up > 2.1 * F.greatest(dn, tiny), 3).otherwise(2)).otherwise(F.when(dn > 2.5 * F.greatest(up, tiny), 1).otherwise(0))
-    names = {3: "UP_EXPANSION", 2: "UP_BALANCED", 1: "DOWN_EXPANSION", 0: "DOWN_BALANCED"}
-    name = F.lit(None).cast("string")
-    for k, v in names.items():
-        name = F.when(F.col("label") == k, v).otherwise(name)
+    """Direction and expansion of the bars ahead; the late half of a period is gated, its name is not."""
+    c = F.col("close")
+    m = _bars(spark, d).select("symbol", "ts", ((F.avg("high").over(_ahead()) - c) / c * 100).alias("ah"), ((c - F.avg("low").over(_ahead())) / c * 100).alias("al"), ((_top("high", True) - c) / c * 100).alias("th"), ((c - _top("low", False)) / c * 100).alias("bl"))
+    ah, al, th, bl = (F.col(x) for x in ("ah", "al", "th", "bl"))
+    over, under = al < 0, ah < 0
+    up = F.when(over, True).when(under, False).otherwise(ah > al)
+    risky = F.when(over, th > 2.1).when(under, bl > 2.1).otherwise((th / (ah + 1e-10) > 2.5) | (bl / (al + 1e-10) > 2.5))
+    label = F.when(ah.isNull(), -1).otherwise(F.when(up, 2).otherwise(0) + risky.cast("int"))
+    names = F.create_map(*(F.lit(x) for kv in {3: "UP_EXPANSION", 2: "UP_BALANCED", 1: "DOWN_EXPANSION", 0: "DOWN_BALANCED", -1: "INVALID"}.items() for x in kv))
     late = micros("ts") % 28_800_000_000 >= 14_400_000_000
-    return a.withColumn("label", label).select("symbol", "ts", "label", name.alias("name"), F.when(late, -1).otherwise(F.col("label")).alias("gated"))
+    return m.withColumn("label", label).select("symbol", "ts", "label", names[F.col("label")].alias("name"), F.when(late, -1).otherwise(F.col("label")).alias("gated"))
 
 
-_TB = f"""b as (select *, avg(high - low) {_over(21)} as atr, count(*) {_over(21)} as n, {", ".join(f"lead({c}, {k}) {ORD} as {c[0]}{k}" for k in (1, 2, 3) for c in ("high", "low", "close"))} from x),
+_TB = f"""t as (select *, case when lag(close) {ORD} is null then high - low else greatest(high - low, abs(high - lag(close) {ORD}), abs(low - lag(close) {ORD})) end as tr from x),
+b as (select *, avg(tr) {_over(21)} as atr, count(*) {_over(21)} as n, {", ".join(f"lead({c}, {k}) {ORD} as {c[0]}{k}" for k in (1, 2, 3) for c in ("high", "low", "close"))} from t),
 c as (select *, close + 2 * atr as ub, close - 2 * atr as lb from b where n = 21)"""
 _HIT = " ".join(f"when h{k} >= ub and l{k} <= lb then case when c{k} >= close then 1 else -1 end when h{k} >= ub then 1 when l{k} <= lb then -1" for k in (1, 2, 3))
 
 
 @query(B + f", {_TB} select symbol, ts, case {_HIT} else 0 end as label from c")
 def g08_triple_barrier(spark, d):
-    atr = roll(F.avg, F.col("high") - F.col("low"), 21)
-    df = _bars(spark, d).withColumns({"atr": atr} | {f"{c[0]}{k}": lead(c, k) for k in (1, 2, 3) for c in ("high", "low", "close")}).where("atr is not null")
+    """First of an upper and a lower barrier met in three bars; a bar that meets both is decided by its close."""
+    df = _true_range(_bars(spark, d)).withColumns({"atr": roll(F.avg, "tr", 21)} | {f"{c[0]}{k}": lead(c, k) for k in (1, 2, 3) for c in ("high", "low", "close")}).where("atr is not null")
     c, up, low = F.col("close"), F.col("close") + 2 * F.col("atr"), F.col("close") - 2 * F.col("atr")
     out = F.lit(0)
     for k in (3, 2, 1):
