@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.blocks import last_known, previous
+from chronoloom.session import cut
 from chronoloom.sources.tables import micros
 
 STREAM = ["pipeline_id", "config_kind"]
@@ -47,28 +48,36 @@ def fields_of(payload: str | None) -> list[dict] | None:
     return [{"owner": owner, "name": name, "kind": json_kind(v), "value": None if v is None else v if isinstance(v, str) else json.dumps(v, sort_keys=True)} for owner, members in found for name, v in members.items()]
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf["fields"] = pdf.pop("payload").map(fields_of)
-        yield pdf[pdf["fields"].notna()]
+def parse_files(raw: DataFrame, values: bool = False, block_days: int = 64) -> DataFrame:
+    """One row per file: its first record that parses, with its fields (``values``: and their values) and the record before it.
 
+    Payloads are parsed once: the parsed fields are written to the shared checkpoint folder, and everything after reads them there.
+    So are the order of files and, in ``typed_fields``, the types: each is read by several branches of the plan.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = pdf.pop("payload").map(fields_of)
+            if not values:
+                found = found.map(lambda fields: fields and [{**f, "value": None} for f in fields], na_action="ignore")
+            pdf["fields"] = found
+            yield pdf[pdf["fields"].notna()]
 
-def parse_files(raw: DataFrame, block_days: int = 64) -> DataFrame:
-    """One row per file: its first record that parses, with its fields, previous and next record of the stream."""
     raw = raw.select("record_id", *STREAM, "file_path", micros("written_at").alias("at"), "payload")
-    parsed = raw.mapInPandas(_parse, f"record_id long, pipeline_id long, config_kind string, file_path string, at long, fields array<{FIELD}>")
+    parsed = raw.mapInPandas(parse, f"record_id long, pipeline_id long, config_kind string, file_path string, at long, fields array<{FIELD}>")
+    parsed = cut(parsed)
     first = parsed.groupBy("file_path").agg(F.min("record_id").alias("record_id")).select("record_id")
-    files = parsed.join(first, "record_id").withColumn("at", F.coalesce("at", F.lit(-(2**62)))).withColumn("block", F.floor(F.col("at") / F.lit(block_days * 86_400_000_000)))
+    files = parsed.drop("fields").join(first, "record_id").withColumn("at", F.coalesce("at", F.lit(-(2**62)))).withColumn("block", F.floor(F.col("at") / F.lit(block_days * 86_400_000_000)))
     order = files.select("record_id", *STREAM, "at", "block")
     order = previous(order, STREAM, ["at", "record_id"], "block", ["record_id"], "p")
-    order = order.select("record_id", F.col("p.record_id").alias("prev_id"))
-    return files.join(order, "record_id")
+    order = cut(order.select("record_id", *STREAM, "at", "block", F.col("p.record_id").alias("prev_id")))
+    return order.join(parsed.select("record_id", "file_path", "fields"), "record_id")
 
 
 def typed_fields(files: DataFrame) -> DataFrame:
     """One row per file and field; ``known`` is its type, or for null the type seen last in the stream."""
     long = files.select("record_id", "prev_id", *STREAM, "at", "block", F.explode("fields").alias("f")).select("*", "f.owner", "f.name", "f.kind", "f.value").drop("f")
-    return last_known(long, [*STREAM, "owner", "name"], ["at", "record_id"], "block", F.col("kind"), "known")
+    return cut(last_known(long, [*STREAM, "owner", "name"], ["at", "record_id"], "block", F.col("kind"), "known"))
 
 
 def changes(files: DataFrame, typed: DataFrame) -> DataFrame:
@@ -165,7 +174,7 @@ def consistent_table(raw: DataFrame) -> DataFrame:
     Fields that a file lacks are NULL by default: they are absent from the map. Values keep their JSON text, so that a
     field whose type changed can be cast by the reader to any of the types it has had (``cast_field``).
     """
-    files = parse_files(raw)
+    files = parse_files(raw, values=True)
     typed = typed_fields(files)
     steps = changes(files, typed)
     routes = rename_routes(files, steps)

@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on: UTC, and no ANSI error for values that a defined NULL covers."""
+    """Pin the time zone results depend on, and give this package to the Python workers of all executors."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Add the package to the context once; the driver's copy is sent to every executor, whatever its path there is."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_chronoloom_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="chronoloom-")) / "chronoloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._chronoloom_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder.
 
