@@ -1,7 +1,7 @@
 """Irregular readings onto the regular grid of a source's open hours, with missing slots predicted.
 
 Close and volume of each source are regressed on trend and daily and weekly harmonics. The normal equations are plain sums
-over all readings, so they are aggregated in parallel with partial sums on every task; only the small systems, one
+over all rows with a close, so they are aggregated in parallel with partial sums on every task; only the small systems, one
 row a source, are solved in Python. A missing slot gets the prediction plus the residual of its neighbours, bridged linearly
 between the observed readings at both ends of the gap. The grid is never joined against the readings: slots without a
 reading are generated from the gap between one observed slot and the next.
@@ -47,16 +47,21 @@ def design(slot: Column) -> list[Column]:
 P = 8
 
 
-def readings(bars: DataFrame, feeds: DataFrame) -> DataFrame:
-    """One row per source and slot with a row in it: slot, step, calendar, close and volume of the reading that counts."""
+def slotted(bars: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Every usable row with the slot it falls in, the step and the calendar of its source."""
     known = feeds.select("source_id", F.col("step_seconds").cast("long").alias("feed_step"), "calendar_id").dropDuplicates(["source_id"])
     rows = bars.where("source_id is not null and timestamp is not null").select("source_id", "row_id", "bar_interval", seconds("timestamp").alias("second"), "timestamp", "ingested_at", "close", "volume")
     own = F.when(F.col("bar_interval").rlike("^[0-9]+m$"), F.regexp_extract("bar_interval", "^([0-9]+)", 1).cast("long") * 60)
     rows = rows.join(known, "source_id", "left").withColumn("step", F.coalesce(F.when(F.col("feed_step") > 0, F.col("feed_step")), F.when(own > 0, own), F.lit(60)))
-    slot = F.floor(F.col("second") / F.col("step")) * F.col("step")
-    order = F.when(F.col("close").isNotNull(), F.struct("ingested_at", "timestamp", "row_id"))
-    per_slot = rows.groupBy("source_id", slot.cast("long").alias("slot"), "step", "calendar_id").agg(F.max_by(F.struct("close", "volume"), order).alias("r"))
-    return per_slot.select("source_id", "slot", "step", "calendar_id", F.col("r.close").alias("close"), F.when(F.col("r.volume") >= 0, F.log1p("r.volume")).alias("lvolume"))
+    slot = (F.floor(F.col("second") / F.col("step")) * F.col("step")).cast("long")
+    return rows.select("source_id", slot.alias("slot"), "step", "calendar_id", "close", F.when(F.col("volume") >= 0, F.log1p("volume")).alias("lvolume"), "ingested_at", "timestamp", "row_id")
+
+
+def readings(rows: DataFrame) -> DataFrame:
+    """One row per source and slot with a close in it: close and volume of the reading that counts."""
+    known = rows.where("close is not null")
+    per_slot = known.groupBy("source_id", "slot", "step", "calendar_id").agg(F.max_by(F.struct("close", "lvolume"), F.struct("ingested_at", "timestamp", "row_id")).alias("r"))
+    return per_slot.select("source_id", "slot", "step", "calendar_id", "r.close", "r.lvolume")
 
 
 def normal_equations(obs: DataFrame) -> DataFrame:
@@ -98,10 +103,10 @@ def regular_grid(bars: DataFrame, feeds: DataFrame) -> DataFrame:
 
     ``is_missing`` marks slots in which no row with a close falls; their close and volume are predicted.
     """
-    slots = readings(bars, feeds)
-    beta = normal_equations(slots.where("close is not null"))
-    bounds = slots.groupBy("source_id").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.max("step").alias("step"), F.max("calendar_id").alias("calendar_id"))
-    observed = slots.where("close is not null").select("source_id", "slot", "step", "calendar_id", "close", "lvolume", F.lit(True).alias("real"))
+    every = slotted(bars, feeds)
+    beta = normal_equations(every.where("close is not null"))
+    bounds = every.groupBy("source_id").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.max("step").alias("step"), F.max("calendar_id").alias("calendar_id"))
+    observed = readings(every).withColumn("real", F.lit(True))
     ends = bounds.select("source_id", (F.col("last") + F.col("step")).alias("slot"), "step", "calendar_id", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("lvolume"), F.lit(False).alias("real"))
     rows = observed.unionByName(ends).withColumn("block", F.floor(F.col("slot") / (F.col("step") * BLOCK_SLOTS))).join(beta, "source_id", "left")
     rows = rows.withColumns({"res_close": F.col("close") - predicted(F.col("slot"), "beta_close"), "res_volume": F.col("lvolume") - predicted(F.col("slot"), "beta_lvolume")})
