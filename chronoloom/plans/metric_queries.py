@@ -468,7 +468,7 @@ def o15_context_hash(spark, d):
 
 
 @query(P + ", h as (select pred_batch, action_key, avg(case when y_true = y_pred then 1.0 else 0.0 end) as acc from p group by 1, 2), n as (select *, row_number() over (partition by action_key order by pred_batch) as up, row_number() over (partition by action_key order by pred_batch desc) as dn from h) select action_key, round(avg(case when dn <= 10 then acc end) - avg(case when up <= 10 then acc end), 8) as drift from n group by 1")
-def p26_stability_delta(spark, d):
+def research_p26_stability_delta(spark, d):
     h = _pred(spark, d, "pred_batch", "action_key", "y_true", "y_pred").groupBy("pred_batch", "action_key").agg(_ratio(_yes(F.col("y_true") == F.col("y_pred")), F.count("*")).alias("acc"))
     w = Window.partitionBy("action_key")
     n = h.withColumns({"up": F.row_number().over(w.orderBy("pred_batch")), "dn": F.row_number().over(w.orderBy(F.desc("pred_batch")))})
@@ -476,21 +476,21 @@ def p26_stability_delta(spark, d):
 
 
 @query(P + ", r as (select action_key, pred_batch, y_true, y_pred, row_number() over (partition by action_key, pred_batch order by \"timestamp\", row_id) as rn from p) select least(floor((rn - 1) * 10 / 240) + 1, 10)::int as decile, count(*) as n, round(avg(case when y_true = y_pred then 1.0 else 0.0 end), 8) as accuracy from r group by 1")
-def p28_row_deciles(spark, d):
+def research_p28_row_deciles(spark, d):
     w = Window.partitionBy("action_key", "pred_batch").orderBy("timestamp", "row_id")
     r = _pred(spark, d, "action_key", "pred_batch", "timestamp", "row_id", "y_true", "y_pred").withColumn("rn", F.row_number().over(w))
     return r.groupBy(F.least(F.floor((F.col("rn") - 1) * 10 / 240) + 1, F.lit(10)).cast("int").alias("decile")).agg(F.count("*").alias("n"), F.round(_ratio(_yes(F.col("y_true") == F.col("y_pred")), F.count("*")), 8).alias("accuracy"))
 
 
 @query(P + ", v as (select asset_id, \"timestamp\", sum(case when y_pred >= 2 then 1 else 0 end)::bigint as votes_up, count(*) as n, min(y_true) as y_true from p group by all), t as (select unnest([0.5, 0.6, 0.75]) as share) select share::double as share, count(*) as n_signals, round(avg(case when y_true >= 2 then 1.0 else 0.0 end), 8) as precision from v join t on votes_up >= share * n group by 1")
-def p24_vote_ladder(spark, d):
+def research_p24_vote_ladder(spark, d):
     v = _pred(spark, d, "asset_id", "timestamp", "y_pred", "y_true").groupBy("asset_id", "timestamp").agg(_yes(F.col("y_pred") >= 2).alias("votes_up"), F.count("*").alias("n"), F.min("y_true").alias("y_true"))
     met = v.select("y_true", F.explode(F.filter(F.array(F.lit(0.5), F.lit(0.6), F.lit(0.75)), lambda s: F.col("votes_up") >= s * F.col("n"))).alias("share"))
     return met.groupBy("share").agg(F.count("*").alias("n_signals"), F.round(F.avg(F.when(F.col("y_true") >= 2, 1.0).otherwise(0.0)), 8).alias("precision"))
 
 
 @query(P + f", {_LOSS}, w as (select pred_batch, action_key, avg(1 - loss) over (partition by action_key order by pred_batch rows between unbounded preceding and 1 preceding) as past from loss) select pred_batch, action_key, round(past / nullif(sum(past) over (partition by pred_batch), 0), 8) as weight from w where past is not null")
-def p19_past_only_weights(spark, d):
+def research_p19_past_only_weights(spark, d):
     past = Window.partitionBy("action_key").orderBy("pred_batch").rowsBetween(Window.unboundedPreceding, -1)
     w = _loss(spark, d).withColumn("past", F.avg(1 - F.col("loss")).over(past)).where("past is not null")
     return w.select("pred_batch", "action_key", F.round(F.try_divide("past", F.nullif(F.sum("past").over(Window.partitionBy("pred_batch")), F.lit(0.0))), 8).alias("weight"))

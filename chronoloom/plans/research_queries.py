@@ -170,7 +170,7 @@ def j12_selected_features(spark, d):
 
 
 @query(P + ", b as (select distinct pred_batch from p), n as (select pred_batch, row_number() over (order by pred_batch) - 1 as i from b) select pred_batch, i // 5 as calibrated_at, i % 5 = 0 as recalibrates from n where i >= 5")
-def p39_selection_schedule(spark, d):
+def research_p39_selection_schedule(spark, d):
     n = _pred(spark, d, "pred_batch").distinct().withColumn("i", F.row_number().over(Window.orderBy("pred_batch")) - 1).where("i >= 5")
     return n.select("pred_batch", F.floor(F.col("i") / 5).alias("calibrated_at"), (F.col("i") % 5 == 0).alias("recalibrates"))
 
@@ -531,7 +531,7 @@ def o14_batch_readiness(spark, d):
 
 
 @query()
-def p01_online_experts(spark, d):
+def research_p01_online_experts(spark, d):
     """Exponentially weighted experts on log loss, floored and renormalised per batch among those that predict."""
     pt = F.greatest(F.element_at(F.array(*PROBS), F.col("y_true") + 1), F.lit(1e-12))
     loss = _pred(spark, d, "pred_batch", "action_key", "y_true", *PROBS).dropna().where("y_true between 0 and 3").groupBy("pred_batch", "action_key").agg(F.avg(-F.log(pt)).alias("loss"))
@@ -549,7 +549,7 @@ def p01_online_experts(spark, d):
 
 
 @query(P + f", t as (select asset_id, \"timestamp\", min(y_true) as y_true, count(distinct y_true) as n from p where y_true is not null group by all) select asset_id, \"timestamp\", y_true, y_true >= 2 as is_up, y_true % 2 = 1 as breakfree from t where n = 1")
-def p05_truth_table(spark, d):
+def research_p05_truth_table(spark, d):
     t = _pred(spark, d, "asset_id", "timestamp", "y_true").where("y_true is not null").groupBy("asset_id", "timestamp").agg(F.min("y_true").alias("y_true"), F.count_distinct("y_true").alias("n")).where("n = 1")
     return t.select("asset_id", "timestamp", "y_true", (F.col("y_true") >= 2).alias("is_up"), (F.col("y_true") % 2 == 1).alias("breakfree"))
 
@@ -565,19 +565,19 @@ def _weighted(spark, d):
 
 
 @query(P + f", {_W8} select asset_id, \"timestamp\", " + ", ".join(f"round(e{j}, 8) as e{j}" for j in range(4)) + " from e")
-def p08_weighted_ensemble(spark, d):
+def research_p08_weighted_ensemble(spark, d):
     return _weighted(spark, d).select("asset_id", "timestamp", *(F.round(f"e{j}", 8).alias(f"e{j}") for j in range(4)))
 
 
 @query(P + f", {_W8} select asset_id, \"timestamp\", case when e1 + e3 >= 0.5 and abs(e2 + e3 - 0.5) >= 0.1 then case when e2 + e3 > 0.5 then 'up' else 'down' end else 'hold' end as decision from e where e0 is not null")
-def p09_composition_rules(spark, d):
+def research_p09_composition_rules(spark, d):
     e = _weighted(spark, d).where("e0 is not null")
     up, breaks = F.col("e2") + F.col("e3"), F.col("e1") + F.col("e3")
     return e.select("asset_id", "timestamp", F.when((breaks >= 0.5) & (F.abs(up - 0.5) >= 0.1), F.when(up > 0.5, "up").otherwise("down")).otherwise("hold").alias("decision"))
 
 
 @query(P + f", t as (select unnest([0.5, 0.55, 0.6, 0.65, 0.7]) as tau), g as (select tau, count(*) as n, avg(case when y_true >= 2 then 1.0 else 0.0 end) as precision from p join t on {UPP} >= tau where stage_split = 'valid' and {KNOWN} group by 1) select tau::double as tau, n, round(precision, 8) as precision from g where n >= 5 order by g.precision desc, tau limit 1")
-def p13_threshold_selection(spark, d):
+def research_p13_threshold_selection(spark, d):
     p = _pred(spark, d, "stage_split", "y_true", *PROBS).where("stage_split = 'valid'").dropna(subset=PROBS)
     met = p.select("y_true", F.explode(F.filter(F.array(*map(F.lit, (0.5, 0.55, 0.6, 0.65, 0.7))), lambda t: t <= _up())).alias("tau"))
     g = met.groupBy("tau").agg(F.count("*").alias("n"), F.avg(F.when(F.col("y_true") >= 2, 1.0).otherwise(0.0)).alias("precision")).where("n >= 5")
@@ -585,7 +585,7 @@ def p13_threshold_selection(spark, d):
 
 
 @query(P + f", q as (select quantile_cont({UPP}, [0.1, 0.3, 0.5, 0.7, 0.9]) as q from p where {KNOWN}), t as (select unnest([1, 2, 3, 4, 5]) as k), g as (select k, q[k] as cut from q, t) select k::int as k, round(cut, 6) as cut, count(*) as n, round(avg(case when y_true >= 2 then 1.0 else 0.0 end), 8) as precision from g join p on {UPP} >= cut where {KNOWN} group by 1, 2")
-def p21_risk_guard_grid(spark, d):
+def research_p21_risk_guard_grid(spark, d):
     p = _pred(spark, d, "y_true", *PROBS).dropna(subset=PROBS).withColumn("up", _up())
     q = p.agg(F.percentile("up", F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))))
     met = p.withColumn("q", q.scalar()).select("y_true", "up", F.posexplode("q").alias("pos", "cut")).where("up >= cut")
@@ -593,14 +593,14 @@ def p21_risk_guard_grid(spark, d):
 
 
 @query(P + ", s as (select action_key, y_pred >= 2 as side, count(*) as n, avg(case when (y_true >= 2) = (y_pred >= 2) then 1.0 else 0.0 end) as safe from p where y_pred is not null and action_key is not null group by 1, 2) select side, action_key, n, round(safe, 8) as safe from s where n >= 10 qualify row_number() over (partition by side order by s.safe desc, action_key) <= 3")
-def p22_direction_specialists(spark, d):
+def research_p22_direction_specialists(spark, d):
     safe = F.when((F.col("y_true") >= 2) == (F.col("y_pred") >= 2), 1.0).otherwise(0.0)
     s = _pred(spark, d, "action_key", "y_true", "y_pred").where("y_pred is not null and action_key is not null").groupBy("action_key", (F.col("y_pred") >= 2).alias("side")).agg(F.count("*").alias("n"), F.avg(safe).alias("safe")).where("n >= 10")
     return s.withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("safe"), "action_key"))).where("k <= 3").select("side", "action_key", "n", F.round("safe", 8).alias("safe"))
 
 
 @query(P + f", {_LOSS}, s as (select action_key, pred_batch, loss, row_number() over (partition by action_key order by pred_batch) as k from loss), w as (select * from s where k <= 12), c as (select a.action_key as key_a, b.action_key as key_b, count(*) as n, corr(a.loss, b.loss) as c from w a join w b on a.pred_batch = b.pred_batch and a.action_key < b.action_key group by 1, 2) select key_a, key_b, n, round(c, 6) as corr from c where n >= 5 and c >= 0.5")
-def p29_duplicate_configs(spark, d):
+def research_p29_duplicate_configs(spark, d):
     """Pairs of models whose warm-up losses move together: models of a batch are paired within it, one row per batch and model."""
     k = F.row_number().over(Window.partitionBy("action_key").orderBy("pred_batch"))
     w = _loss(spark, d).withColumn("k", k).where("k <= 12").groupBy("pred_batch").agg(F.array_sort(F.collect_list(F.struct("action_key", "loss"))).alias("m"))
@@ -610,28 +610,28 @@ def p29_duplicate_configs(spark, d):
 
 
 @query(P + ", b as (select action_key, pred_batch, avg(case when y_true = y_pred then 1.0 else 0.0 end) as acc from p group by 1, 2), w as (select pred_batch, arg_max(action_key, (acc, action_key)) as winner from b group by 1) select winner as action_key, count(*) as wins, round(count(*) / sum(count(*)) over (), 8) as share from w group by 1")
-def p42_winner_portfolio(spark, d):
+def research_p42_winner_portfolio(spark, d):
     b = _pred(spark, d, "action_key", "pred_batch", "y_true", "y_pred").groupBy("action_key", "pred_batch").agg(F.avg(_hit()).alias("acc"))
     w = b.groupBy("pred_batch").agg(F.max_by("action_key", F.struct("acc", "action_key")).alias("action_key"))
     return w.groupBy("action_key").agg(F.count("*").alias("wins")).withColumn("share", F.round(F.col("wins") / F.sum("wins").over(Window.partitionBy()), 8))
 
 
 @query(P + ", k as (select distinct action_key from p where action_key is not null), b as (select distinct pred_batch from p where pred_batch is not null) select k.action_key, count(*) as n_expected, count(s.action_key) as n_found from k cross join b left join (select distinct action_key, pred_batch from p) s on s.action_key = k.action_key and s.pred_batch = b.pred_batch group by 1")
-def p44_combo_coverage(spark, d):
+def research_p44_combo_coverage(spark, d):
     seen = _pred(spark, d, "action_key", "pred_batch").dropna().distinct()
     n = seen.agg(F.count_distinct("pred_batch"))
     return seen.groupBy("action_key").agg(F.count("*").alias("n_found")).withColumn("n_expected", n.scalar()).select("action_key", "n_expected", "n_found")
 
 
 @query(P + f", s as (select stage_split, asset_id, avg({HIT}) as acc, count(*) as n from p where asset_id is not null group by 1, 2) select a.asset_id, round(b.acc - a.acc, 8) as test_minus_train from s a join s b on a.asset_id = b.asset_id and a.stage_split = 'train' and b.stage_split = 'test'")
-def p53_quality_degradation(spark, d):
+def research_p53_quality_degradation(spark, d):
     p = _pred(spark, d, "stage_split", "asset_id", "y_true", "y_pred").where("asset_id is not null")
     s = p.groupBy("asset_id").agg(F.avg(F.when(F.col("stage_split") == "train", _hit())).alias("a"), F.avg(F.when(F.col("stage_split") == "test", _hit())).alias("b"))
     return s.where("a is not null and b is not null").select("asset_id", F.round(F.col("b") - F.col("a"), 8).alias("test_minus_train"))
 
 
 @query(BARS + ", e as (select symbol, ts, ret, epoch_us(ts) as us from x where ret > 1.0), g as (select *, case when us - lag(us) over (partition by symbol order by ts) > 6 * 3600000000 then 1 else 0 end as brk from e), c as (select *, sum(brk) over (partition by symbol order by ts) as cluster from g) select symbol, cluster::bigint as cluster, count(*) as n, arg_max(ts, (ret, ts)) as peak_ts from c group by 1, 2")
-def p56_declustered_exceedances(spark, d):
+def research_p56_declustered_exceedances(spark, d):
     from chronoloom.operators.relational import sessions
 
     e = _returns(spark, d).where("ret > 1.0").select("symbol", "ts", "ret")
@@ -639,6 +639,6 @@ def p56_declustered_exceedances(spark, d):
 
 
 @query('with last as (select file_id, row_id, "timestamp", close, row_number() over (partition by file_id order by "timestamp" desc, row_id desc) as k from feature_batches) select file_id, row_id, "timestamp", close from last where k = 1')
-def p51_last_row_per_file(spark, d):
+def research_p51_last_row_per_file(spark, d):
     f = load(spark, d, "feature_batches", "file_id", "row_id", "timestamp", "close")
     return f.groupBy("file_id").agg(F.max_by(F.struct("row_id", "timestamp", "close"), F.struct("timestamp", "row_id")).alias("r")).select("file_id", "r.*")
