@@ -57,8 +57,8 @@ def test_consistent_table_follows_renames(spark):
 
 def series(n, seed=0, source="s", step=60):
     rng = np.random.default_rng(seed)
-    close = 100 * np.exp(np.cumsum(rng.normal(0, 1e-3, n)))
-    opened = np.concatenate([[100], close[:-1]])
+    close = (100 * np.exp(np.cumsum(rng.normal(0, 1e-3, n)))).tolist()
+    opened = [100.0, *close[:-1]]
     out = []
     for i in range(n):
         hi, lo = max(opened[i], close[i]) * (1 + abs(rng.normal(0, 1e-3))), min(opened[i], close[i]) * (1 - abs(rng.normal(0, 1e-3)))
