@@ -32,8 +32,9 @@ def indicators(bars: DataFrame) -> DataFrame:
     rma = {n: (F.col(x), 1 / k) for n, x, k in (("r_tr", "tr", 14), ("r_tr10", "tr", 10), ("r_p", "pdm", 14), ("r_m", "mdm", 14), ("r_g", "gain", 14), ("r_l", "loss", 14))}
     ema = {n: (F.col(x), 2 / (k + 1)) for n, x, k in (("e12", "close", 12), ("e26", "close", 26), ("e_obv", "obv", 20))}
     df = ewm(df, ["symbol"], "ts", rma | ema)
-    atr = _ready("r_tr", "tr", 14)
-    df = df.withColumns({"atr10": _ready("r_tr10", "tr", 10), "plus_di": 100 * div(F.col("r_p"), nz(atr)), "minus_di": 100 * div(F.col("r_m"), nz(atr)), "rsi": 100 - 100 / (1 + F.when(F.col("r_l") == 0, F.lit(float("inf"))).otherwise(div(_ready("r_g", "gain", 14), nz(_ready("r_l", "loss", 14))))), "macd": _ready("e12", "close", 12) - _ready("e26", "close", 26), "obv_ma": _ready("e_obv", "obv", 20)})
+    atr, rise, fall = _ready("r_tr", "tr", 14), _ready("r_g", "gain", 14), _ready("r_l", "loss", 14)
+    rsi = F.when(fall == 0, F.when(rise > 0, 100.0)).otherwise(100 - 100 / (1 + div(rise, nz(fall))))
+    df = df.withColumns({"atr10": _ready("r_tr10", "tr", 10), "plus_di": 100 * div(F.col("r_p"), nz(atr)), "minus_di": 100 * div(F.col("r_m"), nz(atr)), "rsi": rsi, "macd": _ready("e12", "close", 12) - _ready("e26", "close", 26), "obv_ma": _ready("e_obv", "obv", 20)})
     df = df.withColumn("dx", 100 * div(F.abs(F.col("plus_di") - F.col("minus_di")), nz(F.col("plus_di") + F.col("minus_di"))))
     df = ewm(df, ["symbol"], "ts", {"r_dx": (F.col("dx"), 1 / 14), "e_macd": (F.col("macd"), 2 / 10)})
     day = Window.partitionBy("symbol", F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)

@@ -51,9 +51,12 @@ FAMILIES: dict[str, list[str]] = {
 DIGITS = 5
 
 
+#: Plain ratios of a few prices: their decimals can end right at a rounding tie, so they are compared with more digits.
+RATIOS = ("past_", "roc_", "body_", "upper_", "lower_", "vwap_dev", "basis", "mark_close_range", "oi_pct", "oi_to", "volume_", "long_short", "premium_", "stoch_", "funding_", "sma_dev", "range_exp", "win_rate", "rsi_", "max_drawdown")
+
+
 def digits(name: str) -> int:
-    """Means of a few prices have short decimals; more digits keep them off rounding ties."""
-    return 9 if name.startswith("past_") else DIGITS
+    return 8 if name.startswith(RATIOS) else DIGITS
 
 
 def _family(names: list[str]) -> Callable[[SparkSession, str], DataFrame]:

@@ -60,7 +60,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     t = _trailing(spark, d)
-    parts = [F.round(c, 6).alias(c) for c in ("total_close", "total_bb_middle", "avg_close", "avg_bb_middle")]
+    parts = [F.round(c, 6 if c.startswith("total") else 9).alias(c) for c in ("total_close", "total_bb_middle", "avg_close", "avg_bb_middle")]
     return t.select("asset_id", F.date_format("day", "yyyy-MM-dd").alias("day_utc"), "period_days", "n_close", "n_bb_middle", *parts)
 
 
@@ -126,5 +126,5 @@ with per as (select asset_id, regime, family, batch_id, count(*) as n_rows from
 cut as (select *, floor(coalesce(sum(n_rows) over (partition by asset_id, regime, family order by batch_id rows between unbounded preceding and 1 preceding), 0) * 96 / 134217728)::bigint as file_no from per)
 select asset_id, regime, family, file_no, sum(n_rows)::bigint as n_rows, (sum(n_rows) * 96)::bigint as n_bytes, min(batch_id) as first_batch_id, max(batch_id) as last_batch_id from cut group by all""",
     "p6_found": _DAILY + "select asset_id, day_utc, period_days from totals where n_close = 0",
-    "p6_totals": _DAILY + "select asset_id, day_utc, period_days, n_close, n_bb_middle, round(total_close, 6) as total_close, round(total_bb_middle, 6) as total_bb_middle, round(total_close / n_close, 6) as avg_close, round(total_bb_middle / n_bb_middle, 6) as avg_bb_middle from totals",
+    "p6_totals": _DAILY + "select asset_id, day_utc, period_days, n_close, n_bb_middle, round(total_close, 6) as total_close, round(total_bb_middle, 6) as total_bb_middle, round(total_close / n_close, 9) as avg_close, round(total_bb_middle / n_bb_middle, 9) as avg_bb_middle from totals",
 }
