@@ -12,10 +12,16 @@ input gives empty output.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from chronoloom.session import cut
 
 ROW_BYTES = 96
 
@@ -53,15 +59,53 @@ def planned_files(rows: DataFrame, files: DataFrame, key: Sequence[str], target_
     return per.groupBy(*lead, "file_no").agg(F.sum("n_rows").alias("n_rows"), (F.sum("n_rows") * ROW_BYTES).alias("n_bytes"), F.min(last).alias(f"first_{last}"), F.max(last).alias(f"last_{last}"))
 
 
-def write(rows: DataFrame, files: DataFrame, key: Sequence[str], path: str, target_bytes: int = 128 << 20) -> DataFrame:
-    """Write the consolidated records and return the range metadata of the files: rows, bytes estimate, smallest and largest key."""
-    kept = merged(rows, files, key).where("__copy = 1").drop("__copy", "__run")
-    per_file = max(1, target_bytes // ROW_BYTES)
-    kept.repartitionByRange(*key).sortWithinPartitions(*key).write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
-    return range_metadata(rows.sparkSession, path, key)
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a record's values: texts and nested values as long as they are, others by their type."""
+    fixed = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+    wide = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    plain = sum(fixed.get(kind, 8) for c, kind in df.dtypes if not (kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))))
+    return sum(wide, F.lit(plain)).cast("long")
+
+
+def _stored_bytes(rows: DataFrame) -> int:
+    """Bytes of the files the rows are read from, 0 where they come from no file."""
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in rows.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
 
 
-def range_metadata(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    back = spark.read.parquet(path)
+def write(rows: DataFrame, files: DataFrame, key: Sequence[str], path: str, target_bytes: int = 128 << 20, row_id: str = "row_id", file_id: str = "file_id") -> DataFrame:
+    """Write the consolidated records and return the range metadata of the files.
+
+    The merged order is cut wherever the bytes of the records before a record reach the next multiple of ``target_bytes``, across all
+    key columns, so that files follow each other in key order and one key can fill many of them. Bytes of a record are those of
+    its values, scaled by what the input's files take for theirs; ``n_bytes`` of the result are the bytes of the written files.
+    """
+    content = [*key, *(c for c in rows.columns if c not in (*key, row_id, file_id))]
+    kept = merged(rows, files, key, row_id, file_id).where("__copy = 1").drop("__copy", "__run").sortWithinPartitions(*content)
+    kept = cut(kept.withColumns({"__bytes": _row_bytes(rows), "__part": F.spark_partition_id()}))  # parts keep the order of their ranges
+    sizes = {r["__part"]: r["n"] for r in kept.groupBy("__part").agg(F.sum("__bytes").alias("n")).collect()}  # one row per range
+    before = dict(zip(sorted(sizes), accumulate((sizes[p] for p in sorted(sizes)), initial=0)))
+    read = rows.select(_row_bytes(rows).alias("n")).agg(F.sum("n")).first()[0]
+    stored = _stored_bytes(rows)
+    scale = stored / read if stored and read else 1.0
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for b in batches:
+            own = b.column("__bytes").to_numpy()
+            ahead = np.cumsum(own) - own + done + before[b.column("__part")[0].as_py()] if len(own) else own
+            done += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((ahead * scale // target_bytes).astype("int64"))], names=[*b.schema.names, "file_no"])
+
+    numbered = kept.mapInArrow(number, StructType([*kept.schema.fields, StructField("file_no", LongType())])).drop("__bytes", "__part")
+    # a file is one task's; the sort spills
+    numbered.repartition("file_no").sortWithinPartitions("file_no", *content).write.mode("overwrite").partitionBy("file_no").parquet(path)
+    return range_metadata(rows.sparkSession, path, key, rows.schema)
+
+
+def range_metadata(spark: SparkSession, path: str, key: Sequence[str], schema: StructType | None = None) -> DataFrame:
+    """Per file its name, rows, bytes on disk, smallest and largest key."""
+    back = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     lead = F.struct(*key)
-    return back.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n_rows"), F.min(lead).alias("lowest"), F.max(lead).alias("highest"))
+    return back.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"), F.max("_metadata.file_size").alias("n_bytes"), F.min(lead).alias("lowest"), F.max(lead).alias("highest"))

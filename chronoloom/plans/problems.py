@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,13 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.planned_files(load(spark, d, "feature_batches"), load(spark, d, "batch_files"), BATCH_KEY)
 
 
+def p5_written(spark: SparkSession, d: str) -> DataFrame:
+    """The consolidated files themselves, written into a new folder beside the checkpoints, and their ranges."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chronoloom-")
+    path = f"{shared.rstrip('/')}/consolidated-{uuid.uuid4().hex}"
+    return consolidate.write(load(spark, d, "feature_batches"), load(spark, d, "batch_files"), BATCH_KEY, path)
+
+
 def _trailing(spark: SparkSession, d: str) -> DataFrame:
     return rolling.trailing(load(spark, d, "label_bars"), "asset_id", "timestamp", ["close", "bb_middle"], PERIODS)
 
@@ -64,7 +73,7 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("asset_id", F.date_format("day", "yyyy-MM-dd").alias("day_utc"), "period_days", "n_close", "n_bb_middle", *parts)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_limits, p2_scores, p4_found, p4_grid, p5_found, p5_files, p6_found, p6_totals)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_limits, p2_scores, p4_found, p4_grid, p5_found, p5_files, p5_written, p6_found, p6_totals)}
 
 _SLOT_OPEN = """(calendar_id is distinct from 'session_week'
   or (isodow <= 5 and hour <= 20) or ((isodow <= 4 or isodow = 7) and hour >= 22))"""

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import consolidate, grid, rolling, schema_drift, spikes
 from chronoloom.operators.blocks import last_known
+from chronoloom.plans import problems
+from chronoloom.sources.tables import load
 
 T0 = dt.datetime(2024, 1, 1)
 RUNS = "record_id long, pipeline_id long, pipeline_name string, config_kind string, file_path string, written_at timestamp_ntz, ingested_at timestamp_ntz, payload string"
@@ -184,6 +187,28 @@ def test_consolidation_keeps_every_record_once(spark, tmp_path):
     assert consolidate.repeated(df.limit(0), fdf, key).count() == 0
 
 
+def test_written_files_are_cut_by_bytes_across_keys(spark, tmp_path):
+    schema = "row_id long, file_id long, k string, batch_id int, timestamp timestamp_ntz, v string"
+    rows = [(i, i % 9, "hot" if i % 3 else f"k{i % 60:02}", 1, T0 + dt.timedelta(minutes=i), ("wide" * 200 if i % 3 == 1 else "w") + str(i)) for i in range(3000)]
+    df, fdf = spark.createDataFrame(rows, schema), spark.createDataFrame([(f, T0) for f in range(9)], "file_id long, written_at timestamp_ntz")
+    key, path = ["k", "batch_id", "timestamp"], str(tmp_path / "out")
+    got = sorted(consolidate.write(df, fdf, key, path, 100_000).collect(), key=lambda r: tuple(r.lowest))
+    assert sum(r.n_rows for r in got) == 3000 and all(r.n_bytes > 0 for r in got)
+    assert all(tuple(a.highest) < tuple(b.lowest) for a, b in zip(got, got[1:]))
+    sizes = [r.n for r in spark.read.parquet(path).groupBy("file_no").agg(F.sum(F.length("k") + F.length("v") + 28).alias("n")).orderBy("file_no").collect()]
+    assert len(sizes) == len(got) and all(99_000 < n < 101_000 for n in sizes[:-1])
+    assert sum(r.lowest.k == r.highest.k == "hot" for r in got) > 3  # one batch over many files
+    assert any(r.lowest.k != r.highest.k for r in got)  # many keys in one file
+    assert consolidate.write(df.limit(0), fdf, key, str(tmp_path / "none")).count() == 0
+
+
+def test_p5_written_reports_the_files_on_disk(spark):
+    d = "/root/testdata/sf0.001"
+    got = problems.p5_written(spark, d).collect()
+    assert sum(r.n_rows for r in got) == load(spark, d, "feature_batches").count() - problems.p5_found(spark, d).count()
+    assert len(got) == 1 and all(r.n_bytes == Path(r.file.removeprefix("file:").replace("%3D", "=")).stat().st_size for r in got)
+
+
 def test_last_known_across_blocks(spark):
     rng = np.random.default_rng(2)
     rows = [(["x", "y", None][i % 3], i, int(i // 40), None if rng.random() < 0.7 else i) for i in range(600)]
