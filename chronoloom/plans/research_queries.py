@@ -249,6 +249,37 @@ def l31_subset_enumeration(spark, d):
     return s.groupBy("mask").agg(F.count("*").alias("size"), F.round(F.max("acc"), 8).alias("oracle"), F.round(F.avg("acc"), 8).alias("mean"))
 
 
+_SIDE = "(y_true >= 2) <> (y_pred >= 2)"
+_F1 = [f"2.0 * count_if(y_true = {k} and y_pred = {k}) / nullif(count_if(y_true = {k}) + count_if(y_pred = {k}), 0)" for k in range(4)]
+_SUBSET_MEANS = {"mean_dir_acc": "1.0 - cde", "mean_acc": "acc", "mean_macro_f1": "f1", "mean_rank": "rank", "top1_rate": "case when rank = 1 then 1.0 else 0.0 end", "top2_rate": "case when rank <= 2 then 1.0 else 0.0 end"}
+_SUBSET_COLS = ", ".join(f"count_if({own}) as {part}_steps, " + ", ".join(f"round(avg(case when {own} then {x} end), 8) as {part}_{n}" for n, x in _SUBSET_MEANS.items()) for part, own in (("train", "in_train"), ("test", "not in_train")))
+_SUBSET_F1 = f"({' + '.join(f'coalesce({x}, 0)' for x in _F1)}) / ({' + '.join(f'case when {x} is null then 0 else 1 end' for x in _F1)})"
+
+
+@query(P + f""", m as (select pred_batch, action_key, avg({HIT}) as acc, avg(case when {_SIDE} then 1.0 else 0.0 end) as cde, {_SUBSET_F1} as f1 from p where pred_batch is not null and action_key is not null and y_true is not null and y_pred is not null group by 1, 2),
+r as (select *, row_number() over (partition by pred_batch order by round(acc, 12) desc, round(f1, 12) desc, round(cde, 12), action_key) as rank, dense_rank() over (order by action_key) - 1 as bit, dense_rank() over (order by pred_batch) - 1 as i from m),
+b as (select *, i < greatest(1, least((select max(i) from r), floor(0.7::double * (select max(i) + 1 from r)))) as in_train from r),
+s as (select unnest(range(1, 1::bigint << (select (max(bit) + 1)::int from r))) as mask),
+c as (select * from s join b on (s.mask >> b.bit) & 1 = 1 qualify row_number() over (partition by mask, pred_batch order by rank) = 1)
+select mask::bigint as mask, bit_count(mask::bigint)::bigint as size, {_SUBSET_COLS} from c group by 1, 2""")
+def l31_every_subset(spark, d):
+    """Every non-empty set of models (bits of ``mask`` by action_key): its best model of each batch, averaged over the first 70 % of batches and the rest.
+
+    A batch's models are ranked once, by accuracy, macro F1, wrong sides and name; a set takes the first that it holds.
+    """
+    p = _pred(spark, d, "pred_batch", "action_key", "y_true", "y_pred").dropna()
+    m = p.groupBy("pred_batch", "action_key").agg(F.avg(_hit()).alias("acc"), F.expr(f"avg(case when {_SIDE} then 1.0D else 0.0D end)").alias("cde"), F.expr(_SUBSET_F1).cast("double").alias("f1"))
+    r = m.withColumns({"rank": F.row_number().over(Window.partitionBy("pred_batch").orderBy(F.desc(F.round("acc", 12)), F.desc(F.round("f1", 12)), F.round("cde", 12), "action_key")), "bit": F.dense_rank().over(Window.orderBy("action_key")) - 1})  # one row per batch and model
+    models = p.select("action_key").distinct().count()
+    b = r.groupBy("pred_batch").agg(F.array_sort(F.collect_list(F.struct("rank", "bit", "acc", "cde", "f1"))).alias("ranked"))
+    b = b.withColumns({"i": F.row_number().over(Window.orderBy("pred_batch")) - 1, "n": F.count("*").over(Window.partitionBy())})
+    b = b.withColumn("in_train", F.col("i") < F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.7))))
+    s = spark.range(1, 2**models).withColumnRenamed("id", "mask")
+    c = s.crossJoin(F.broadcast(b)).select("mask", "in_train", F.expr("get(filter(ranked, x -> (shiftright(mask, x.bit) & 1) = 1), 0)").alias("c")).where("c is not null").select("mask", "in_train", "c.*")
+    means = [x for part, own in (("train", "in_train"), ("test", "not in_train")) for x in (F.expr(f"count_if({own})").alias(f"{part}_steps"), *(F.round(F.expr(f"avg(cast(case when {own} then {e} end as double))"), 8).alias(f"{part}_{n}") for n, e in _SUBSET_MEANS.items()))]
+    return c.groupBy("mask", F.bit_count("mask").cast("long").alias("size")).agg(*means)
+
+
 # ---- selectors and online learning --------------------------------------------------------------------------------------
 
 
