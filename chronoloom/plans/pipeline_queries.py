@@ -264,9 +264,7 @@ def m15_greedy_prune(spark, d):
         return list(votes.agg(*(right(s).alias(str(i)) for i, s in enumerate(sets))).first())
 
     keep, best = keys, accuracies([keys])[0] if keys else 0.0
-    for _ in range(2):
-        if len(keep) < 3:
-            break
+    while len(keep) > 2:
         sets = [[k for k in keep if k != x] for x in keep]
         acc = accuracies(sets)
         i = max(range(len(acc)), key=lambda j: acc[j] or 0.0)

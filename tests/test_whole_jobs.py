@@ -1,5 +1,6 @@
 """Queries that do a whole job where an older one stops short, against plain Python."""
 
+import datetime as dt
 import itertools
 from collections import defaultdict
 
@@ -27,3 +28,16 @@ def test_every_subset_is_enumerated_with_a_pick_per_batch(spark):
     got = {r["mask"]: (r["size"], r["train_mean_acc"], r["test_mean_acc"]) for r in entry.queries()["l31_every_subset"](spark, SF).collect()}
     assert len(got) == 2 ** len(keys) - 1 and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
+def test_greedy_prune_goes_on_until_two_are_left(spark, tmp_path):
+    """Eight models that agree: no removal costs accuracy, so the search ends at the least number of candidates."""
+    rows, t0 = [], dt.datetime(2024, 1, 1)
+    for i in range(40):
+        for k in range(8):
+            truth = i % 2 * 3
+            rows.append((i * 8 + k, "A", i // 4, t0 + dt.timedelta(hours=i), f"m{k}", truth, truth))
+    df = spark.createDataFrame(rows, "row_id long, asset_id string, pred_batch int, timestamp timestamp_ntz, action_key string, y_true int, y_pred int")
+    df.write.parquet(str(tmp_path / "stage1_pred_batch_predictions.parquet"))
+    got = {r.action_key: r.kept for r in entry.queries()["m15_greedy_prune"](spark, str(tmp_path)).collect()}
+    assert [k for k, kept in sorted(got.items()) if kept] == ["m6", "m7"]
