@@ -43,26 +43,38 @@ def _up():
 # ---- helper models ------------------------------------------------------------------------------------------------------
 
 
+_EGARCH = np.array([(a, g, b) for g in (-0.2, -0.1, -0.05, 0.0, 0.05) for b in (0.7, 0.8, 0.85, 0.9, 0.95) for a in (0.05, 0.1, 0.15, 0.2)])
+
+
+def egarch_fit(r: np.ndarray) -> tuple[float, float, float, float, float | None]:
+    """omega, alpha, gamma, beta and log-likelihood of the best point of the grid on demeaned returns; all points are scanned at once.
+
+    Fewer than 30 returns, or ones that don't vary, give the default parameters and no likelihood.
+    """
+    e = r - r.mean() if len(r) else r
+    var = float((e * e).mean()) if len(r) else 0.0
+    if len(r) < 30 or var <= 1e-10:
+        return 0.0, 0.1, -0.1, 0.85, None
+    alpha, gamma, beta = _EGARCH.T
+    omega, lv, ll = (1 - beta) * math.log(var), np.full(len(_EGARCH), math.log(var)), np.zeros(len(_EGARCH))
+    for before, x in zip(e[:-1], e[1:]):
+        v = np.where(lv > -20, np.exp(lv), 1e-10)
+        shock = np.where(v > 1e-10, before / np.sqrt(v), 0.0)
+        lv = np.clip(omega + alpha * (np.abs(shock) - math.sqrt(2 / math.pi)) + gamma * shock + beta * lv, -20, 10)
+        ll -= 0.5 * (math.log(2 * math.pi) + lv + x * x / np.exp(lv))
+    i = len(ll) - 1 - int(ll[::-1].argmax())
+    return float(omega[i]), *map(float, _EGARCH[i]), float(ll[i])
+
+
 @query()
 def h04_egarch_grid(spark, d):
-    """Likelihood of a small grid of parameters per symbol, the best kept; the grid is fixed, the series are scanned once each."""
-    grid = [(a, g, b) for a in (0.05, 0.1, 0.2) for g in (-0.1, 0.0) for b in (0.85, 0.9, 0.95)]
+    """Parameters of the best likelihood per symbol among all 100 of the grid."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("ts")["ret"].dropna().to_numpy()
-        v0 = math.log(max(r.var(), 1e-12)) if len(r) else 0.0
-        out = []
-        for a, g, b in grid:
-            fold, _ = folds.egarch((1 - b) * v0, a, g, b)
-            state, ll = {"lv": v0}, 0.0
-            for x in r:
-                ll -= 0.5 * (state["lv"] + x * x / math.exp(state["lv"]))
-                state, _ = fold(state, {"value": x})
-            out.append((pdf["symbol"].iloc[0], a, g, b, ll))
-        return pd.DataFrame(out, columns=["symbol", "alpha", "gamma", "beta", "log_likelihood"])
-
-    best = _returns(spark, d).select("symbol", "ts", "ret").groupBy("symbol").applyInPandas(fit, "symbol string, alpha double, gamma double, beta double, log_likelihood double")
-    return best.groupBy("symbol").agg(F.max_by(F.struct("alpha", "gamma", "beta", "log_likelihood"), "log_likelihood").alias("r")).select("symbol", "r.*")
+        _, *best = egarch_fit(pdf.sort_values("ts")["ret"].dropna().to_numpy())
+        return pd.DataFrame([(pdf["symbol"].iloc[0], *best)], columns=["symbol", "alpha", "gamma", "beta", "log_likelihood"])
+
+    return _returns(spark, d).select("symbol", "ts", "ret").groupBy("symbol").applyInPandas(fit, "symbol string, alpha double, gamma double, beta double, log_likelihood double")
 
 
 @query()

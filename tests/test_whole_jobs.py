@@ -2,11 +2,14 @@
 
 import datetime as dt
 import itertools
+import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from chronoloom.plans.research_queries import egarch_fit
 from chronoloom.sources.tables import load
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +44,32 @@ def test_greedy_prune_goes_on_until_two_are_left(spark, tmp_path):
     df.write.parquet(str(tmp_path / "stage1_pred_batch_predictions.parquet"))
     got = {r.action_key: r.kept for r in entry.queries()["m15_greedy_prune"](spark, str(tmp_path)).collect()}
     assert [k for k, kept in sorted(got.items()) if kept] == ["m6", "m7"]
+
+
+def _egarch_likelihood(r, alpha, gamma, beta):
+    e = [x - sum(r) / len(r) for x in r]
+    start = math.log(sum(x * x for x in e) / len(e))
+    lv, ll = start, 0.0
+    for before, x in zip(e, e[1:]):
+        shock = before / math.exp(lv / 2)
+        lv = min(10.0, max(-20.0, (1 - beta) * start + alpha * (abs(shock) - math.sqrt(2 / math.pi)) + gamma * shock + beta * lv))
+        ll -= 0.5 * (math.log(2 * math.pi) + lv + x * x / math.exp(lv))
+    return ll
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_egarch_grid_is_searched_whole_on_demeaned_returns(seed):
+    rng = np.random.default_rng(seed)
+    r = rng.standard_t(4, 200) * 0.02 * np.exp(np.sin(np.arange(200) / 15)) + 0.05
+    every = {(a, g, b): _egarch_likelihood(r.tolist(), a, g, b) for g in (-0.2, -0.1, -0.05, 0.0, 0.05) for b in (0.7, 0.8, 0.85, 0.9, 0.95) for a in (0.05, 0.1, 0.15, 0.2)}
+    _, *point, ll = egarch_fit(r)
+    assert len(every) == 100 and tuple(point) == max(every, key=every.get) and ll == pytest.approx(max(every.values()))
+
+
+def test_egarch_grid_of_a_series_that_is_too_short_or_flat():
+    assert egarch_fit(np.zeros(0)) == egarch_fit(np.ones(29)) == egarch_fit(np.ones(50)) == (0.0, 0.1, -0.1, 0.85, None)
+
+
+def test_h04_gives_one_point_for_every_symbol(spark):
+    got = entry.queries()["h04_egarch_grid"](spark, SF).collect()
+    assert len(got) == len({r.symbol for r in got}) == 5 and all(r.log_likelihood is not None for r in got)
