@@ -86,17 +86,24 @@ def adf_statistic(x: np.ndarray) -> float:
 
 @query()
 def e27_optimal_difference(spark, d):
-    """Smallest order of fractional differencing whose series passes the test at 5 %, per symbol."""
+    """Smallest order of fractional differencing whose series passes the test at 5 %, per symbol; NULL where none does.
+
+    Weights run to 1e-5 or 100 of them; orders that leave fewer than 50 values are passed over.
+    """
     from chronoloom.plans.series_queries import ffd_weights
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.log(pdf.sort_values("ts")["close"].to_numpy())
+        found = None, None
         for order in (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
-            w = np.array(ffd_weights(order, 20))
-            s = adf_statistic(np.convolve(x, w, mode="valid")) if len(x) > 40 else math.nan
+            w = np.array(ffd_weights(order, 100, 1e-5))
+            if len(x) - len(w) + 1 < 50:
+                continue
+            s = adf_statistic(np.convolve(x, w, mode="valid"))
             if s < -2.86:
+                found = order, s
                 break
-        return pd.DataFrame([(pdf["symbol"].iloc[0], order, s)], columns=["symbol", "difference_order", "statistic"])
+        return pd.DataFrame([(pdf["symbol"].iloc[0], *found)], columns=["symbol", "difference_order", "statistic"])
 
     return source.bars(spark, d).select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, difference_order double, statistic double")
 

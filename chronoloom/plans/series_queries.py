@@ -233,10 +233,14 @@ def e25_supertrend(spark, d):
     return scan(rows.select("symbol", "ts", "high", "low", "close", "atr"), ["symbol"], "ts", fold, start, "direction int").select("symbol", "ts", "direction")
 
 
-def ffd_weights(order: float, size: int) -> list[float]:
+def ffd_weights(order: float, size: int = 100, threshold: float = 0.0) -> list[float]:
+    """Weights of fractional differencing, up to the first below ``threshold``."""
     w = [1.0]
     for k in range(1, size):
-        w.append(-w[-1] * (order - k + 1) / k)
+        nxt = -w[-1] * (order - k + 1) / k
+        if abs(nxt) < threshold:
+            break
+        w.append(nxt)
     return w
 
 
@@ -249,6 +253,18 @@ def e26_fractional_difference(spark, d):
     return _pick(_bars(spark, d), ("ffd", sum(terms[1:], terms[0])))
 
 
+_FFD_WHOLE = ffd_weights(0.4, 100, 1e-5)
+
+
+@query(B + "select symbol, ts, round(" + " + ".join(f"{w!r} * lag(ln(close), {k}) {ORD}" if k else "ln(close)" for k, w in enumerate(_FFD_WHOLE)) + ", 6) as ffd from x")
+def e26_whole_fractional_difference(spark, d):
+    """Order 0.4 with all weights of at least 1e-5, 100 at most; NULL until the window is full."""
+    whole = ordered().rowsBetween(1 - len(_FFD_WHOLE), 0)
+    x = _bars(spark, d).withColumn("past", F.reverse(F.collect_list(F.log("close")).over(whole)))
+    terms = F.zip_with("past", F.array(*map(F.lit, _FFD_WHOLE)), lambda a, w: a * w)
+    return _pick(x, ("ffd", F.when(F.size("past") == len(_FFD_WHOLE), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))))
+
+
 @query(B + f"select symbol, ts, round(case when count(ret) {_over(30)} >= 10 then avg(ret) {_over(30)} / nullif(stddev_samp(ret) {_over(30)}, 0) end, 6) + 0.0 as sharpe from x")
 def e28_rolling_sharpe(spark, d):
     w = trailing(30)

@@ -10,6 +10,8 @@ import pytest
 
 import __spark_entry__ as entry
 from chronoloom.plans.research_queries import egarch_fit
+from chronoloom.plans.series_queries import ffd_weights
+from chronoloom.sources.bars import bars
 from chronoloom.sources.tables import load
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +75,52 @@ def test_egarch_grid_of_a_series_that_is_too_short_or_flat():
 def test_h04_gives_one_point_for_every_symbol(spark):
     got = entry.queries()["h04_egarch_grid"](spark, SF).collect()
     assert len(got) == len({r.symbol for r in got}) == 5 and all(r.log_likelihood is not None for r in got)
+
+
+def _weights(order):
+    w = [1.0]
+    while len(w) < 100 and abs(nxt := w[-1] * (len(w) - 1 - order) / len(w)) >= 1e-5:
+        w.append(nxt)
+    return w
+
+
+def test_fractional_difference_takes_the_whole_window(spark):
+    assert len(_weights(0.4)) == 100 and ffd_weights(1.0, 100, 1e-5) == [1.0, -1.0]
+    assert all(ffd_weights(k / 10, 100, 1e-5) == pytest.approx(_weights(k / 10)) for k in range(11))
+    got = entry.queries()["e26_whole_fractional_difference"](spark, SF).toPandas().set_index(["symbol", "ts"]).ffd
+    for symbol, pdf in bars(spark, SF).select("symbol", "ts", "close").toPandas().sort_values("ts").groupby("symbol"):
+        x, w = np.log(pdf.close.to_numpy()), _weights(0.4)
+        for i, ts in enumerate(pdf.ts):
+            want = sum(w[k] * x[i - k] for k in range(100)) if i >= 99 else None
+            assert (np.isnan(got[symbol, ts]) and want is None) or got[symbol, ts] == pytest.approx(want, abs=1e-6)
+
+
+def test_optimal_difference_uses_the_whole_window(spark):
+    from chronoloom.plans.pipeline_queries import adf_statistic
+
+    got = {r.symbol: (r.difference_order, r.statistic) for r in entry.queries()["e27_optimal_difference"](spark, "/root/testdata/sf0.01").collect()}
+    walks = {}
+    for symbol, pdf in bars(spark, "/root/testdata/sf0.01").select("symbol", "ts", "close").toPandas().sort_values("ts").groupby("symbol"):
+        walks[symbol] = np.log(pdf.close.to_numpy())
+    for symbol, x in walks.items():
+        tried = [(k / 10, adf_statistic(np.convolve(x, _weights(k / 10), mode="valid"))) for k in range(11) if len(x) - len(_weights(k / 10)) + 1 >= 50]
+        passed = [t for t in tried if t[1] < -2.86]
+        assert got[symbol] == pytest.approx(passed[0] if passed else (None, None))
+
+
+def test_optimal_difference_of_a_walk(spark, tmp_path):
+    """A walk that the filter of 20 weights made look stationary at another order than the whole one does."""
+    from chronoloom.plans.pipeline_queries import adf_statistic
+
+    x = first = whole = None
+    for seed in range(200):
+        x = np.cumsum(np.random.default_rng(seed).normal(0, 0.02, 400)) + 5
+        orders = [k / 10 for k in range(11)]
+        first = next(o for o in orders if adf_statistic(np.convolve(x, ffd_weights(o, 20), mode="valid")) < -2.86)
+        whole = next(o for o in orders if adf_statistic(np.convolve(x, _weights(o), mode="valid")) < -2.86)
+        if first != whole:
+            break
+    assert first != whole
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, t0 + dt.timedelta(hours=i), "s", float(np.exp(v))) for i, v in enumerate(x)], "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.difference_order for r in entry.queries()["e27_optimal_difference"](spark, str(tmp_path)).collect()] == [whole]
