@@ -140,6 +140,31 @@ def h14_refit_chunks(spark, d):
     return c.where("first_row < 500").withColumn("fitted_on", 100 + F.floor(F.col("chunk") / 10) * 10)
 
 
+@query()
+def h14_helper_chunks(spark, d):
+    """Every row after 100 warm-up rows of each series, in chunks of 10: volatility by an EGARCH helper refitted every 10 chunks on all rows before.
+
+    The helper goes on from its state at the end of the fitted rows and sees each row only after it has given that row's value.
+    """
+    warmup, size, every = 100, 10, 100
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts").reset_index(drop=True)
+        r, out = pdf["ret"].fillna(0.0).to_numpy(), []
+        for start in range(warmup, len(r), every):
+            omega, alpha, gamma, beta, _ = egarch_fit(r[:start])
+            mean, var = r[:start].mean(), r[:start].var()
+            fold, _ = folds.egarch(omega, alpha, gamma, beta)
+            state = {"lv": math.log(max(var, 1e-10))}
+            for i in range(min(start + every, len(r))):
+                state, now = fold(state, {"value": r[i] - mean})
+                if i >= start:
+                    out.append((pdf["symbol"][i], pdf["ts"][i], (i - warmup) // size, start, now["volatility"], now["shock"]))
+        return pd.DataFrame(out, columns=["symbol", "ts", "chunk", "fitted_on", "volatility", "shock"])
+
+    return _returns(spark, d).select("symbol", "ts", "ret").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, chunk long, fitted_on long, volatility double, shock double")
+
+
 @query(BARS + ", h as (select symbol, ts, avg(ret) over (partition by symbol order by ts rows between 9 preceding and current row) as full, row_number() over (partition by symbol order by ts) as k from x), q as (select * from x qualify row_number() over (partition by symbol order by ts) <= 200), p as (select symbol, ts, avg(ret) over (partition by symbol order by ts rows between 9 preceding and current row) as pre from q) select h.symbol, count(*) as n, round(max(abs(h.full - p.pre)), 9) + 0.0 as worst from h join p on h.symbol = p.symbol and h.ts = p.ts where h.k <= 200 group by 1")
 def o13_prefix_causality(spark, d):
     """A causal feature computed on a prefix equals the one computed on the whole series."""

@@ -124,3 +124,30 @@ def test_optimal_difference_of_a_walk(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     spark.createDataFrame([(i, t0 + dt.timedelta(hours=i), "s", float(np.exp(v))) for i, v in enumerate(x)], "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     assert [r.difference_order for r in entry.queries()["e27_optimal_difference"](spark, str(tmp_path)).collect()] == [whole]
+
+
+def test_helper_chunks_cover_every_row_and_only_look_back(spark, tmp_path):
+    rng, t0 = np.random.default_rng(5), dt.datetime(2024, 1, 1)
+    sizes = {"long": 637, "short": 143, "none": 100}
+    events, walks = [], {}
+    for symbol, n in sizes.items():
+        walks[symbol] = np.exp(5 + np.cumsum(rng.normal(0, 0.02, n)))
+        events += [(len(events) + i, t0 + dt.timedelta(hours=i), symbol, float(v)) for i, v in enumerate(walks[symbol])]
+
+    def run(name, rows):
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / name / "events.parquet"))
+        return {(r.symbol, int((r.ts - t0).total_seconds()) // 3600): r for r in entry.queries()["h14_helper_chunks"](spark, str(tmp_path / name)).collect()}
+
+    got = run("whole", events)
+    assert got.keys() == {(s, i) for s, n in sizes.items() for i in range(100, n)}
+    assert all(r.chunk == (i - 100) // 10 and r.fitted_on == i // 100 * 100 for (_, i), r in got.items())
+    r = np.concatenate([[0.0], np.diff(np.log(walks["long"]))])
+    omega, alpha, gamma, beta, _ = egarch_fit(r[:600])
+    e, lv = r - r[:600].mean(), math.log(r[:600].var())
+    for i in range(637):
+        if i >= 600:
+            assert got["long", i].volatility == pytest.approx(math.exp(lv / 2))
+        shock = e[i] / math.exp(lv / 2)
+        lv = omega + beta * lv + alpha * (abs(shock) - math.sqrt(2 / math.pi)) + gamma * shock
+    part = run("part", [e for e in events if e[2] == "long" and e[1] < t0 + dt.timedelta(hours=455)])
+    assert len(part) == 355 and all(part[k].volatility == pytest.approx(got[k].volatility) for k in part)
