@@ -249,7 +249,7 @@ def asked(text: str) -> set[str]:
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """word, c (array of the counts of ``KINDS``) over all documents."""
+    """word, c (array of the counts of ``KINDS``) over all documents, of words that stand dotted, opening or capitalised anywhere."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -257,11 +257,12 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 for k, c in evidence(text).items():
                     total[k].update(c)
-            words = [w for w in set().union(*total.values()) if total["dotted"][w] or total["opening"][w] or total["capital"][w]]
+            words = list(set().union(*total.values()))
             yield pd.DataFrame({"word": pd.Series(words, dtype=object), **{k: [total[k][w] for w in words] for k in KINDS}})
 
     parts = docs.select("text").mapInPandas(count, "word string, " + ", ".join(f"{k} long" for k in KINDS))
-    return parts.groupBy("word").agg(F.array(*(F.sum(k) for k in KINDS)).alias("c"))
+    total = parts.groupBy("word").agg(*(F.sum(k).alias(k) for k in KINDS)).where("dotted > 0 or opening > 0 or capital > 0")
+    return total.select("word", F.array(*KINDS).alias("c"))
 
 
 def sentence_units(docs: DataFrame) -> DataFrame:

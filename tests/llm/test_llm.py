@@ -145,3 +145,14 @@ def test_sentence_units_table(spark):
     got = sorted((r.doc_id, r.sent_start, r.sent_end) for r in sentences.sentence_units(docs).collect())
     assert got == [(1, 0, 12), (1, 13, 26), (4, 0, 100_000)]
     assert sentences.sentence_units(docs.limit(0)).count() == 0
+
+
+def test_corpus_counts_do_not_depend_on_partitions(spark):
+    from chronoloom.llm import sentences
+
+    texts = [(i, "We saw the abb. Then we left." if i == 0 else "They called abb here and the abb there.") for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    count = lambda n: {r.word: list(r.c) for r in sentences.corpus_counts(df.repartition(n, "doc_id")).collect()}
+    one = count(1)
+    assert one == count(7) == count(40)
+    assert one["abb"][sentences.KINDS.index("plain")] == 78
