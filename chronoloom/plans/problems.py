@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators import consolidate, grid, rolling, schema_drift, spikes
+from chronoloom.session import shared_folder
 from chronoloom.sources.tables import load
 
 BATCH_KEY = ["asset_id", "regime", "family", "batch_id", "timestamp"]
@@ -54,8 +54,7 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_written(spark: SparkSession, d: str) -> DataFrame:
     """The consolidated files themselves, written into a new folder beside the checkpoints, and their ranges."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chronoloom-")
-    path = f"{shared.rstrip('/')}/consolidated-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}"
     return consolidate.write(load(spark, d, "feature_batches"), load(spark, d, "batch_files"), BATCH_KEY, path)
 
 

@@ -37,7 +37,7 @@ def _hours(ts: str = "ts") -> str:
 B = f"with {source.sql()} "
 
 
-@query("select source_id, \"timestamp\", close, volume from (select *, row_number() over (partition by source_id, \"timestamp\" order by ingested_at desc nulls last, row_id desc) as k from raw_bars where source_id is not null and \"timestamp\" is not null) where k = 1")
+@query("select source_id, \"timestamp\", case when not isnan(close) then close end as close, case when not isnan(volume) then volume end as volume from (select *, row_number() over (partition by source_id, \"timestamp\" order by ingested_at desc nulls last, row_id desc) as k from raw_bars where source_id is not null and \"timestamp\" is not null) where k = 1")
 def a01_bar_scan(spark, d):
     raw = load(spark, d, "raw_bars", "source_id", "timestamp", "close", "volume", "ingested_at", "row_id").where("source_id is not null and timestamp is not null")
     late = F.struct("ingested_at", "row_id")

@@ -41,7 +41,7 @@ def b01_timestamp_normalisation(spark, d):
 
 @query("select l_orderkey, l_linenumber from lineitem where l_quantity between 5 and 7 and l_discount between 0.02 and 0.04")
 def b04_inclusive_range(spark, d):
-    return load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount").where(F.col("l_quantity").between(5, 7) & F.col("l_discount").between(0.02, 0.04)).select("l_orderkey", "l_linenumber")
+    return load(spark, d, "lineitem", "l_orderkey", "l_linenumber", where=F.col("l_quantity").between(5, 7) & F.col("l_discount").between(0.02, 0.04))
 
 
 @query("select name, in_features, in_labels from (values ('asset_id', 1, 1), ('bar_in_batch_norm', 1, 0), ('bar_pos', 0, 1), ('batch_id', 1, 1), ('close', 1, 1), ('target_4class', 1, 1), ('timestamp', 1, 1)) t(name, in_features, in_labels)")

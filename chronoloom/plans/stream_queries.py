@@ -20,7 +20,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, df: DataFrame) -> DataFrame:
-    folder = streams.shared_folder(spark)
+    folder = streams.new_folder(spark)
     return streams.run_available(df, f"{folder}/out", f"{folder}/checkpoint")
 
 

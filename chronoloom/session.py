@@ -30,13 +30,26 @@ def _ship(spark: SparkSession) -> None:
     sc._chronoloom_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` of the session names it.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset (tests, local runs) a temporary one is made.
+    Where it is unset, a run in one process (master ``local[...]``) gets a temporary folder; anything else is refused, because
+    a folder of one machine is unknown to the others.
     """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not hasattr(sc, "_chronoloom_folder"):
+        sc._chronoloom_folder = tempfile.mkdtemp(prefix="chronoloom-")
+    return sc._chronoloom_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chronoloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoloom.session import prepare
+from chronoloom.session import prepare, shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -70,9 +70,6 @@ def run_available(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.parquet(out)
 
 
-def shared_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder under the one all executors share."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chronoloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -19,8 +20,10 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(v: object) -> object:
-    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
+    if isinstance(v, float) and math.isnan(v):
+        return "NaN"
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, pd.Timestamp):
@@ -34,15 +37,16 @@ def _cell(v: object) -> object:
     return str(v)
 
 
-def rows(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf[sorted(pdf.columns)]
-    return sorted((tuple(_cell(v) for v in row) for row in pdf.itertuples(index=False, name=None)), key=repr)
+def rows(table: pa.Table) -> list[tuple]:
+    """Rows with columns in order of name; Arrow keeps NULL and NaN apart, which pandas doesn't."""
+    names = sorted(table.column_names)
+    return sorted((tuple(map(_cell, row)) for row in zip(*(table.column(n).to_pylist() for n in names))), key=repr)
 
 
-def differences(spark_pdf: pd.DataFrame, sql_pdf: pd.DataFrame) -> str:
-    if sorted(spark_pdf.columns) != sorted(sql_pdf.columns):
-        return f"columns {sorted(spark_pdf.columns)} against {sorted(sql_pdf.columns)}"
-    a, b = rows(spark_pdf), rows(sql_pdf)
+def differences(got: pa.Table, sql: pa.Table) -> str:
+    if sorted(got.column_names) != sorted(sql.column_names):
+        return f"columns {sorted(got.column_names)} against {sorted(sql.column_names)}"
+    a, b = rows(got), rows(sql)
     if len(a) != len(b):
         return f"{len(a)} rows against {len(b)}"
     bad = [(x, y) for x, y in zip(a, b, strict=True) if x != y]

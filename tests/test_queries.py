@@ -20,8 +20,8 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, con, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    assert oracle.differences(got, con.execute(entry.oracle_sql()[name]).df()) == ""
+    got = entry.queries()[name](spark, SF).toArrow()
+    assert oracle.differences(got, con.execute(entry.oracle_sql()[name]).to_arrow_table()) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(NAMES)))
