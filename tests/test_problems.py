@@ -104,10 +104,25 @@ def test_spikes_empty(spark):
 
 def test_isolation_scores_outliers_higher():
     rng = np.random.default_rng(1)
-    x = rng.normal(0, 1, (2000, 4)).astype(np.float32)
-    x[0] = 12
-    s = spikes.score(spikes.grow_forest(x, 7), x)
+    x = rng.lognormal(0, 0.5, (2000, spikes.FEATURES)).astype(np.float32)
+    x[0] = 60
+    forest = spikes.grow_forest(x, 7)
+    s = spikes.score(forest, x)
     assert s[0] > np.quantile(s, 0.999)
+    for above in (0.2, 0.3, 0.5):  # stopping early loses nothing
+        assert (np.where(s >= above, s, 0) == np.where((t := spikes.score(forest, x, above)) >= above, t, 0)).all()
+    again = spikes.unpack_forests(spikes.pack_forests([forest] * 3))
+    assert len(again) == 3 and all((a == b).all() for a, b in zip(again[2], forest, strict=True))
+
+
+def test_the_forest_decides(spark):
+    rows = series(1500, seed=4)
+    rows[300][5] *= 1.4
+    rows[700][8] = -1.0
+    df = spark.createDataFrame(rows, BARS)
+    assert found(spikes.implausible(df)) == [(300, "high"), (700, "volume")]
+    assert found(spikes.implausible(df, above=1.01)) == [(700, "volume")]
+    assert spikes.implausible(df, above=-1.0).count() == 3 * 1500
 
 
 def test_grid_marks_and_fills(spark):
