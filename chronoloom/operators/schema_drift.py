@@ -1,30 +1,38 @@
 """Schemas that drift between files: versioned fingerprints, migration steps, and one consistent table.
 
-Every file of a stream (here: one pipeline and config kind) is reduced to its fields and their JSON types. Neighbouring files
-are compared, which gives migration steps (rename, add with NULL as default, remove, cast); a version begins wherever the
-fingerprint of the fields changes. Each file is then routed through the chain of steps that follow it, so that every
-value stands under the newest name of its field.
+Every file of a stream (here: one pipeline and config kind) is reduced to the *shape* of its fields with their JSON types. The files
+lie in one order, stream by stream and by time, cut into ranges of about equal size whatever the streams: a stream that
+holds most files fills many ranges, however short the time in which they came. A range is walked file by file with the
+fingerprint of the schema in force; only where it changes are fields compared, which gives the migration steps (rename, default, remove, cast)
+and begins a new version. What a range must know of the files before it (the types seen last, the shape of the last file) and
+of those after it (what becomes of its names) is one small row a range, chained over the ranges.
+
+Each file is then routed through the rules that follow it: values stand under the newest name of their field, fields a
+file lacks are there as NULL by default, and values of a field that had several types are cast to the narrowest type that holds
+all of them. What was done to a file is recorded in its row; no value is lost.
 
 Defined results: torn payloads and payloads that are no JSON object are left out; a NULL file_path is a path of its own;
-files with NULL written_at come first; equal written_at is ordered by record_id; empty input gives empty output; columns of
-other names are ignored.
+files with NULL written_at come first; equal written_at is ordered by record_id; an ``args`` that is no object, or an empty one, is a
+field like others; of two fields of a file that lead to one name the one that has it keeps it, the other stays
+under its own name and this is recorded; empty input gives empty output; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocks import last_known, previous
 from chronoloom.session import cut
 from chronoloom.sources.tables import micros
 
-STREAM = ["pipeline_id", "config_kind"]
-FIELD = "struct<owner:string,name:string,kind:string,value:string>"
+Field = tuple[str, str]
+#: Written_at of files without one.
+FIRST = -(2**62)
 
 
 def json_kind(value: object) -> str | None:
@@ -35,7 +43,7 @@ def json_kind(value: object) -> str | None:
     return None
 
 
-def fields_of(payload: str | None) -> list[dict] | None:
+def members(payload: str | None) -> dict[Field, object] | None:
     """Members of the top object and of its ``args`` object; None if the text is no JSON object."""
     try:
         top = json.loads(payload) if payload is not None else None
@@ -44,161 +52,265 @@ def fields_of(payload: str | None) -> list[dict] | None:
     if not isinstance(top, dict):
         return None
     args = top.get("args")
-    found = [("", top), *([("args", args)] if isinstance(args, dict) else [])]
-    return [{"owner": owner, "name": name, "kind": json_kind(v), "value": None if v is None else v if isinstance(v, str) else json.dumps(v, sort_keys=True)} for owner, members in found for name, v in members.items()]
+    return {("", n): v for n, v in top.items()} | ({("args", n): v for n, v in args.items()} if isinstance(args, dict) else {})
+
+
+def _shape(found: dict[Field, object]) -> str:
+    return json.dumps([(o, n, json_kind(found[o, n])) for o, n in sorted(found)])
+
+
+def _text(value: object) -> str | None:
+    return None if value is None else value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+
+
+def path_of(config_kind: str | None, owner: str, name: str) -> str:
+    return ".".join(p for p in (config_kind, owner, name) if p)
 
 
-def parse_files(raw: DataFrame, values: bool = False, block_days: int = 64) -> DataFrame:
-    """One row per file: its first record that parses, with its fields (``values``: and their values) and the record before it.
+def ordered_files(raw: DataFrame, values: bool = False) -> DataFrame:
+    """One row per file, its first record that parses, in ranges (``part``) of the order of stream, time and record_id.
 
-    Payloads are parsed once: the parsed fields are written to the shared checkpoint folder, and everything after reads them there.
-    So are the order of files and, in ``typed_fields``, the types: each is read by several branches of the plan.
+    Written to the shared checkpoint folder, where the walks read it; ranges keep their order and their rows' order there.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = pdf.pop("payload").map(fields_of)
-            if not values:
-                found = found.map(lambda fields: fields and [{**f, "value": None} for f in fields], na_action="ignore")
-            pdf["fields"] = found
-            yield pdf[pdf["fields"].notna()]
-
-    raw = raw.select("record_id", *STREAM, "file_path", micros("written_at").alias("at"), "payload")
-    parsed = raw.mapInPandas(parse, f"record_id long, pipeline_id long, config_kind string, file_path string, at long, fields array<{FIELD}>")
-    parsed = cut(parsed)
-    first = parsed.groupBy("file_path").agg(F.min("record_id").alias("record_id")).select("record_id")
-    files = parsed.drop("fields").join(first, "record_id").withColumn("at", F.coalesce("at", F.lit(-(2**62)))).withColumn("block", F.floor(F.col("at") / F.lit(block_days * 86_400_000_000)))
-    order = files.select("record_id", *STREAM, "at", "block")
-    order = previous(order, STREAM, ["at", "record_id"], "block", ["record_id"], "p")
-    order = cut(order.select("record_id", *STREAM, "at", "block", F.col("p.record_id").alias("prev_id")))
-    return order.join(parsed.select("record_id", "file_path", "fields"), "record_id")
-
-
-def typed_fields(files: DataFrame) -> DataFrame:
-    """One row per file and field; ``known`` is its type, or for null the type seen last in the stream."""
-    long = files.select("record_id", "prev_id", *STREAM, "at", "block", F.explode("fields").alias("f")).select("*", "f.owner", "f.name", "f.kind", "f.value").drop("f")
-    return cut(last_known(long, [*STREAM, "owner", "name"], ["at", "record_id"], "block", F.col("kind"), "known"))
-
-
-def changes(files: DataFrame, typed: DataFrame) -> DataFrame:
-    """record_id, owner, name, change_kind, old_name, old_kind, new_kind: every step from a file to the one after it.
-
-    One row per field and side is shuffled by the later file's record_id, never by the stream, so a stream that holds most
-    files stays spread out.
+            found = [members(p) for p in pdf.pop("payload")]
+            keep = [f is not None for f in found]
+            found = [f for f in found if f is not None]
+            if found:
+                vals = [json.dumps([_text(f[k]) for k in sorted(f)]) for f in found] if values else None
+                yield pdf[keep].assign(shape=[_shape(f) for f in found], vals=vals)
+
+    stream = F.to_json(F.struct("pipeline_id", "config_kind")).alias("stream")
+    rows = raw.select("record_id", stream, "config_kind", "file_path", F.coalesce(micros("written_at"), F.lit(FIRST)).alias("at"), "payload")
+    rows = rows.mapInPandas(parse, "record_id long, stream string, config_kind string, file_path string, at long, shape string, vals string")
+    rest = ["record_id", "stream", "config_kind", "at", "shape", "vals"]
+    files = rows.groupBy("file_path").agg(F.min_by(F.struct(*rest), "record_id").alias("r")).select("file_path", *(f"r.{c}" for c in rest))
+    order = ["stream", "at", "record_id"]
+    return cut(files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+
+
+class Schema:
+    """The schema in force while the files of a stream are walked: last shape, its known types, types seen last of every field."""
+
+    def __init__(self, types: dict[Field, str] | None = None, shape: str | None = None):
+        self.types, self.shape = dict(types or {}), shape
+        self.known = None if shape is None else {(o, n): self.types.get((o, n)) for o, n, _ in json.loads(shape)}
+
+    def fingerprint(self) -> int:
+        text = json.dumps([(*f, k) for f, k in sorted(self.known.items())])
+        return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+    def take(self, shape: str) -> tuple[bool, list[tuple]]:
+        """Go on to the next file: whether a version begins with it, and the steps (owner, name, change, old name, old type, new type)."""
+        if shape == self.shape:
+            return False, []
+        now = {(o, n): k for o, n, k in json.loads(shape)}
+        self.types |= {f: k for f, k in now.items() if k is not None}
+        known = {f: self.types.get(f) for f in now}
+        before, self.shape, self.known = self.known, shape, known
+        if before is None:
+            return True, []
+        return known != before, _steps(before, known) if known != before else []
+
+
+def _steps(before: dict[Field, str | None], now: dict[Field, str | None]) -> list[tuple]:
+    left, came = before.keys() - now.keys(), now.keys() - before.keys()
+    out = [(*f, "type_changed", None, before[f], now[f]) for f in before.keys() & now.keys() if now[f] is not None and before[f] is not None and now[f] != before[f]]
+    for owner in {o for o, _ in left | came}:
+        gone, new = [f for f in left if f[0] == owner], [f for f in came if f[0] == owner]
+        alike = [f for f in new if len(gone) == 1 and now[f] is not None and now[f] == before[gone[0]]]
+        if len(alike) == 1:
+            out.append((*alike[0], "renamed", gone[0][1], before[gone[0]], now[alike[0]]))
+            gone, new = [], [f for f in new if f != alike[0]]
+        out += [(*f, "added", None, None, now[f]) for f in new] + [(*f, "removed", None, before[f], None) for f in gone]
+    return out
+
+
+def _at_start(files: DataFrame) -> dict[int, tuple]:
+    """part -> (stream, types, shape) a range begins with, of ranges whose first stream began before them.
+
+    One row a range comes to the driver: the types of the fields of its last stream.
     """
-    later = files.where("prev_id is not null").select(F.col("prev_id").alias("of"), F.col("record_id").alias("next_id"))
-    before = typed.join(later, typed.record_id == later.of).select(F.col("next_id").alias("record_id"), "owner", "name", F.lit(None).cast("string").alias("now"), F.col("known").alias("kind"), F.lit(0).alias("side"))
-    now = typed.where("prev_id is not null").select("record_id", "owner", "name", F.col("kind").alias("now"), F.col("known").alias("kind"), F.lit(1).alias("side"))
-    state = before.unionByName(now).groupBy("record_id", "owner", "name").agg(F.max("side").alias("hi"), F.min("side").alias("lo"), F.max(F.when(F.col("side") == 0, F.col("kind"))).alias("old_kind"), F.max("now").alias("now"), F.max(F.when(F.col("side") == 1, F.col("kind"))).alias("new_kind"))
-    step = state.withColumn("move", F.when(F.col("hi") == 0, "left").when(F.col("lo") == 1, "came").when(F.col("now") != F.col("old_kind"), "type_changed")).where("move is not null")
-    owner = Window.partitionBy("record_id", "owner")
-    step = step.withColumns({"n_left": F.count(F.when(F.col("move") == "left", 1)).over(owner), "left_name": F.max(F.when(F.col("move") == "left", F.col("name"))).over(owner), "left_kind": F.max(F.when(F.col("move") == "left", F.col("old_kind"))).over(owner)})
-    came_alike = F.count(F.when((F.col("move") == "came") & (F.col("new_kind") == F.col("left_kind")), 1)).over(owner)
-    pair = (F.col("n_left") == 1) & (F.col("n_alike") == 1)
-    step = step.withColumn("n_alike", came_alike).withColumn("renamed", pair & (F.col("move") == "came") & (F.col("new_kind") == F.col("left_kind"))).where(~(pair & (F.col("move") == "left")))
-    kind = F.when(F.col("renamed"), "renamed").when(F.col("move") == "came", "added").when(F.col("move") == "left", "removed").otherwise(F.col("move"))
-    return step.select("record_id", "owner", "name", kind.alias("change_kind"), F.when(F.col("renamed"), F.col("left_name")).alias("old_name"), "old_kind", "new_kind")
 
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = first = stream = shape = None
+        types: dict[Field, str] = {}
+        for pdf in batches:
+            for part, s, text in zip(pdf["part"], pdf["stream"], pdf["shape"], strict=True):
+                if s != stream:
+                    first, stream, types, shape = first or s, s, {}, None
+                if text != shape:
+                    shape = text
+                    types.update(((o, n), k) for o, n, k in json.loads(text) if k is not None)
+        if part is not None:
+            yield pd.DataFrame([(part, first, stream, json.dumps([(*f, k) for f, k in types.items()]), shape)], columns=["part", "first", "stream", "types", "shape"])
+
+    out, carry = {}, None
+    for r in sorted(files.select("part", "stream", "shape").mapInPandas(ends, "part int, first string, stream string, types string, shape string").collect(), key=lambda r: r.part):
+        types = {(o, n): k for o, n, k in json.loads(r.types)}
+        if carry and carry[0] == r.first:
+            out[r.part] = carry
+            types = {**carry[1], **types} if r.first == r.stream else types
+        carry = (r.stream, types, r.shape)
+    return out
 
-def drift(raw: DataFrame) -> DataFrame:
-    """Every change: record_id of the later file, field_path, change_kind (added, removed, renamed, type_changed)."""
-    files = parse_files(raw)
-    steps = changes(files, typed_fields(files)).join(files.select("record_id", "config_kind"), "record_id")
-    return steps.select("record_id", field_path("config_kind").alias("field_path"), "change_kind")
 
+def _walk(pdf: pd.DataFrame, state: list, at_start: dict[int, tuple]) -> Iterator[tuple[bool, list[tuple], Schema]]:
+    """What every file of a batch changes; ``state`` (stream, schema) is kept between the batches of a range."""
+    for part, stream, shape in zip(pdf["part"], pdf["stream"], pdf["shape"], strict=True):
+        if stream != state[0]:
+            known = at_start.get(part) if state[0] is None else None
+            state[:] = stream, Schema(*known[1:]) if known and known[0] == stream else Schema()
+        yield *state[1].take(shape), state[1]
 
-def field_path(kind: str):
-    return F.concat_ws(".", kind, F.when(F.col("owner") != "", F.col("owner")), "name")
 
+def drift(raw: DataFrame) -> DataFrame:
+    """Every change: record_id of the later file, field_path, change_kind (added, removed, renamed, type_changed)."""
+    files = ordered_files(raw)
+    at_start = _at_start(files)
 
-def fingerprints(files: DataFrame, typed: DataFrame) -> DataFrame:
-    """Schema fingerprint of every file: a hash of its sorted fields with their types."""
-    shape = typed.groupBy("record_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "owner", "name", F.coalesce("known", F.lit("null"))))).alias("shape"))
-    return files.join(shape, "record_id", "left").select("record_id", "prev_id", *STREAM, "at", "block", F.xxhash64(F.concat_ws("|", "shape")).alias("fingerprint"))
+    def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = [None, None]
+        for pdf in batches:
+            rows = [(record, path_of(kind, owner, name), change) for record, kind, (_, steps, _) in zip(pdf["record_id"], pdf["config_kind"], _walk(pdf, state, at_start), strict=True) for owner, name, change, *_ in steps]
+            yield pd.DataFrame(rows, columns=["record_id", "field_path", "change_kind"])
 
+    return files.mapInPandas(changes, "record_id long, field_path string, change_kind string")
 
-def versions(files: DataFrame, typed: DataFrame) -> DataFrame:
-    """Fingerprint and version number of every file; a version begins where the fingerprint differs from the file before.
 
-    The running count is made per (stream, block) and shifted by the count of earlier blocks.
-    """
-    prints = fingerprints(files, typed)
-    old = prints.select(F.col("record_id").alias("prev_id"), F.col("fingerprint").alias("prev_print"))
-    marks = prints.join(old, "prev_id", "left").withColumn("begins", F.when(F.col("fingerprint").eqNullSafe(F.col("prev_print")), 0).otherwise(1))
-    totals = marks.groupBy(*STREAM, "block").agg(F.sum("begins").alias("n"))
-    base = totals.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(*STREAM).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*STREAM, "block").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    running = marks.withColumn("inside", F.sum("begins").over(inside)).withColumnsRenamed({k: f"_{k}" for k in (*STREAM, "block")})
-    on = [running[f"_{k}"].eqNullSafe(base[k]) for k in (*STREAM, "block")]
-    return running.join(base, on).select("record_id", "fingerprint", (F.col("base") + F.col("inside")).alias("version"))
-
-
-def _compose(renames: list[tuple[str, str, str]], then: dict) -> dict:
-    """Names at the start of a run of renames -> names after it and after ``then``; renames in order of time."""
-    out = dict(then)
-    for owner, old, new in reversed(renames):
-        out[owner, old] = out.pop((owner, new), new)
-    return out
+def versioned(files: DataFrame) -> DataFrame:
+    """The files with ``begins`` (a version begins), ``fingerprint`` of the schema and the ``renames`` of the step before, in the same ranges."""
+    at_start = _at_start(files)
 
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last = [None, None], (None, None)
+        for pdf in batches:
+            out = []
+            for begins, made, schema in _walk(pdf, state, at_start):
+                if begins or last[0] is not schema:
+                    last = schema, schema.fingerprint()
+                out.append((int(begins), last[1], json.dumps([(o, old, n) for o, n, change, old, *_ in made if change == "renamed"])))
+            if out:
+                begins, prints, renames = map(list, zip(*out, strict=True))
+                yield pdf.assign(begins=begins, fingerprint=prints, renames=renames)
 
-def rename_routes(files: DataFrame, steps: DataFrame) -> DataFrame:
-    """(stream, block, owner, name) -> newest: what becomes of a name that stands at the end of a block.
+    return cut(files.mapInPandas(steps, ", ".join(f"{n} {t}" for n, t in files.dtypes) + ", begins int, fingerprint long, renames string"))
 
-    Renames compose associatively, so each block is reduced to one small map (at most one entry a field name), and
-    only these maps, one per stream and block of 64 days, are chained.
-    """
-    moves = steps.where("change_kind = 'renamed'").join(files.select("record_id", *STREAM, "at", "block"), "record_id")
 
-    def reduce_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "record_id"])
-        total = _compose(list(zip(pdf["owner"], pdf["old_name"], pdf["name"], strict=True)), {})
-        return pd.DataFrame([(*key, json.dumps([[o, a, b] for (o, a), b in sorted(total.items())]))], columns=[*STREAM, "block", "moves"])
+def _linked(steps: DataFrame) -> tuple[dict[int, tuple[str, int]], dict[int, tuple[str, dict[Field, str]]]]:
+    """For each range: versions of its first stream before it, and what becomes after it of the names of its last stream.
 
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, then = [], {}
-        for block, text in zip(*(pdf.sort_values("block", ascending=False)[c] for c in ("block", "moves")), strict=True):
-            out += [(*key, block, o, a, b) for (o, a), b in then.items()]
-            own = {(o, a): b for o, a, b in json.loads(text)}
-            then = {**then, **{k: then.get((k[0], b), b) for k, b in own.items()}}
-        return pd.DataFrame(out, columns=[*STREAM, "block", "owner", "name", "newest"])
+    Renames compose, so a range is one small map; one row a range comes to the driver.
+    """
 
-    blocks = files.select(*STREAM, "block").distinct()
-    per_block = moves.groupBy(*STREAM, "block").applyInPandas(reduce_block, "pipeline_id long, config_kind string, block long, moves string")
-    per_block = blocks.join(per_block, [*STREAM, "block"], "left").fillna("[]", ["moves"])
-    return per_block.groupBy(*STREAM).applyInPandas(chain, "pipeline_id long, config_kind string, block long, owner string, name string, newest string")
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = first = stream = None
+        begun, moves = 0, []
+        for pdf in batches:
+            for part, s, begins, renames in zip(pdf["part"], pdf["stream"], pdf["begins"], pdf["renames"], strict=True):
+                if s != stream:
+                    first, stream, begun = first or s, s, 0
+                begun += begins
+                if s == first and renames != "[]":
+                    moves += json.loads(renames)
+        if part is not None:
+            route: dict[Field, str] = {}
+            for o, old, new in reversed(moves):
+                route[o, old] = route.get((o, new), new)
+            yield pd.DataFrame([(part, first, stream, begun, json.dumps([(*f, n) for f, n in route.items()]))], columns=["part", "first", "stream", "begun", "moves"])
+
+    rows = sorted(steps.select("part", "stream", "begins", "renames").mapInPandas(ends, "part int, first string, stream string, begun long, moves string").collect(), key=lambda r: r.part)
+    before, after, carry = {}, {}, None
+    for r in rows:
+        if carry and carry[0] == r.first:
+            before[r.part] = carry
+        carry = (r.stream, r.begun + (carry[1] if carry and r.first == r.stream == carry[0] else 0))
+    carry = None
+    for r in reversed(rows):
+        if carry and carry[0] == r.stream:
+            after[r.part] = carry
+        own, then = {(o, a): b for o, a, b in json.loads(r.moves)}, carry[1] if carry and r.first == r.stream == carry[0] else {}
+        carry = (r.first, {**then, **{f: then.get((f[0], b), b) for f, b in own.items()}})
+    return before, after
+
+
+def routed(found: list[tuple[str, str, str | None]], values: list[str | None], route: dict[Field, str], config_kind: str | None) -> tuple[list[tuple], list[str]]:
+    """(path, value, type) of every field under its newest name, and what was done for it."""
+    fields = [(o, n, k, v) for (o, n, k), v in zip(found, values, strict=True) if (o, n) != ("", "args") or k != "object" or v == "{}"]
+    out, done = {}, []
+    moved = sorted(fields, key=lambda f: ((f[0], f[1]) in route and route[f[0], f[1]] != f[1], f[0], f[1]))  # a name is its owner's first
+    for owner, name, kind, value in moved:
+        was, path = path_of(config_kind, owner, name), path_of(config_kind, owner, route.get((owner, name), name))
+        if path in out:
+            done.append(f"collision {was} -> {path}")
+            path = was
+            while path in out:
+                path += "'"
+        elif path != was:
+            done.append(f"rename {was} -> {path}")
+        out[path] = (path, value, kind)
+    return list(out.values()), done
 
 
 def consistent_table(raw: DataFrame) -> DataFrame:
-    """One row per file: record_id, stream, version, fingerprint, ``fields`` (field path -> value, newest names, one text form).
+    """One row per file: record_id, pipeline_id, config_kind, file_path, written_at, version, fingerprint, fields, kinds, applied.
 
-    Fields that a file lacks are NULL by default: they are absent from the map. Values keep their JSON text, so that a
-    field whose type changed can be cast by the reader to any of the types it has had (``cast_field``).
+    ``fields`` has every field of the file's stream: newest field path -> value in text form, NULL where the file lacks it. ``kinds`` has the type
+    each is cast to: its one type, fraction for integers and fractions, else string (the JSON text). ``applied`` lists the
+    rules the file went through: renames, collisions, defaults and casts.
     """
-    files = parse_files(raw, values=True)
-    typed = typed_fields(files)
-    steps = changes(files, typed)
-    routes = rename_routes(files, steps)
-    moves = steps.where("change_kind = 'renamed'").join(files.select("record_id", *STREAM, "at", "block"), "record_id").select(*STREAM, "block", F.struct("at", "record_id", "owner", "old_name", "name").alias("m"))
-    moves = moves.groupBy(*STREAM, "block").agg(F.array_sort(F.collect_list("m")).alias("moves"))
-
-    @F.pandas_udf("string")
-    def at_block_end(at: pd.Series, record: pd.Series, owner: pd.Series, name: pd.Series, moves: pd.Series) -> pd.Series:
-        out = []
-        for a, r, o, n, m in zip(at, record, owner, name, moves, strict=True):
-            for x in m if m is not None else ():
-                if (x["at"], x["record_id"]) > (a, r) and x["owner"] == o and x["old_name"] == n:
-                    n = x["name"]
-            out.append(n)
-        return pd.Series(out, dtype=object)
-
-    now = typed.join(moves, [*STREAM, "block"], "left").withColumn("name", at_block_end("at", "record_id", "owner", "name", "moves"))
-    now = now.join(routes, [*STREAM, "block", "owner", "name"], "left").withColumn("name", F.coalesce("newest", "name"))
-    now = now.where("not (owner = '' and name = 'args')")
-    per_name = now.groupBy("record_id", "config_kind", "owner", "name").agg(F.max("value").alias("value"))
-    maps = per_name.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(field_path("config_kind").alias("k"), "value")))).alias("fields"))
-    return files.select("record_id", *STREAM, "file_path", "at").join(versions(files, typed), "record_id").join(maps, "record_id", "left").select("record_id", *STREAM, "file_path", F.timestamp_micros("at").alias("written_at"), "version", "fingerprint", "fields")
-
-
-def cast_field(path: str, kind: str):
+    steps = versioned(ordered_files(raw, values=True))
+    before, after = _linked(steps)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, version, first = None, 0, True
+        for pdf in batches:
+            out = []
+            for part, s, begins in zip(pdf["part"], pdf["stream"], pdf["begins"], strict=True):
+                if s != stream:
+                    known = before.get(part) if first else None
+                    stream, version, first = s, known[1] if known and known[0] == s else 0, False
+                version += begins
+                out.append(version)
+            yield pdf.assign(version=out)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, names, first = None, {}, True
+        for pdf in batches:
+            out = []
+            for part, s, kind, shape, vals, renames in zip(*(pdf[c] for c in ("part", "stream", "config_kind", "shape", "vals", "renames")), strict=True):
+                if s != stream:
+                    known = after.get(part) if first else None
+                    stream, names, first = s, dict(known[1]) if known and known[0] == s else {}, False
+                found, done = routed(json.loads(shape), json.loads(vals), names, kind)
+                out.append((json.dumps([{"path": p, "value": v, "kind": k} for p, v, k in found]), json.dumps(done)))
+                if renames != "[]":
+                    for o, old, new in json.loads(renames):
+                        names[o, old] = names.get((o, new), new)
+            if out:
+                yield pdf.assign(found=[f for f, _ in out], done=[d for _, d in out])
+
+    types = dict(steps.dtypes) | {"version": "long", "found": "string", "done": "string"}
+    numbered = steps.mapInPandas(number, ", ".join(f"{n} {types[n]}" for n in (*steps.columns, "version")))
+    backwards = numbered.sortWithinPartitions(F.desc("stream"), F.desc("at"), F.desc("record_id"))  # each range from its end; no shuffle
+    kept = ["record_id", "stream", "config_kind", "file_path", "at", "part", "fingerprint", "version", "found", "done"]
+    rows = backwards.mapInPandas(lambda batches: (b[kept] for b in route(batches)), ", ".join(f"{n} {types[n]}" for n in kept))
+    rows = cut(rows.withColumn("found", F.from_json("found", "array<struct<path:string,value:string,kind:string>>")).withColumn("done", F.from_json("done", "array<string>")))
+    seen = rows.select("stream", F.explode("found").alias("f")).groupBy("stream", "f.path").agg(F.collect_set("f.kind").alias("seen"))
+    one = F.when(F.size("seen") <= 1, F.try_element_at("seen", F.lit(1))).when(F.size(F.array_except("seen", F.array(F.lit("integer"), F.lit("fraction")))) == 0, F.lit("fraction")).otherwise(F.lit("string"))
+    schema = seen.groupBy("stream").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", one.alias("kind"))))).alias("kinds"))
+    here = rows.select("stream", "part").distinct().join(schema, "stream")  # a hot stream is joined range by range
+    table = rows.join(here, ["stream", "part"], "left").withColumn("kinds", F.coalesce("kinds", F.expr("cast(map() as map<string,string>)")))
+    own = F.map_from_entries(F.transform("found", lambda f: F.struct(f["path"], f["value"])))
+    absent = F.array_except(F.map_keys("kinds"), F.transform("found", lambda f: f["path"]))
+    defaults = F.transform(absent, lambda k: F.concat(F.lit("default "), k))
+    casts = F.transform(F.filter("found", lambda f: f["kind"] != F.col("kinds")[f["path"]]), lambda f: F.concat(F.lit("cast "), f["path"], F.lit(" "), f["kind"], F.lit(" -> "), F.col("kinds")[f["path"]]))
+    table = table.withColumn("own", own)
+    return table.select("record_id", F.get_json_object("stream", "$.pipeline_id").cast("long").alias("pipeline_id"), "config_kind", "file_path", F.timestamp_micros(F.nullif("at", F.lit(FIRST))).alias("written_at"), "version", "fingerprint", F.transform_values("kinds", lambda k, _: F.col("own")[k]).alias("fields"), "kinds", F.concat("done", defaults, casts).alias("applied"))
+
+
+def cast_field(path: str, kind: str) -> Column:
     """Column of one field of ``consistent_table`` in a Spark type; values that don't fit are NULL."""
     return F.expr(f"try_cast(fields['{path}'] as {kind})")

@@ -51,13 +51,85 @@ def test_drift_empty_and_across_blocks(spark):
     assert found(schema_drift.drift(spark.createDataFrame(rows, RUNS))) == [(2, "k.a", "type_changed")]
 
 
+def table_of(spark, rows):
+    return {r.record_id: r for r in schema_drift.consistent_table(spark.createDataFrame(rows, RUNS)).collect()}
+
+
 def test_consistent_table_follows_renames(spark):
     rows = run_rows([{"a": 1}, {"b": 2}, {"c": 3}])
     rows[2] = (*rows[2][:5], T0 + dt.timedelta(days=500), *rows[2][6:])
-    got = {r.record_id: (r.version, r.fields) for r in schema_drift.consistent_table(spark.createDataFrame(rows, RUNS)).collect()}
+    got = {k: (r.version, r.fields) for k, r in table_of(spark, rows).items()}
     assert got == {1: (1, {"k.c": "1"}), 2: (2, {"k.c": "2"}), 3: (3, {"k.c": "3"})}
 
 
+def test_consistent_table_loses_nothing(spark):
+    got = table_of(spark, run_rows([{"args": "fast", "k": 1}, {"args": {}, "k": 2}, {"args": {"x": [1, {"y": 2}]}, "k": None}]))
+    assert got[1].fields == {"k.args": "fast", "k.k": "1", "k.args.x": None}
+    assert got[2].fields == {"k.args": "{}", "k.k": "2", "k.args.x": None}
+    assert got[3].fields == {"k.args": None, "k.k": None, "k.args.x": '[1, {"y": 2}]'} and "default k.args" in got[3].applied
+    renamed = table_of(spark, run_rows([{"a": 1}, {"b": 2}, {"a": 3}, {"a": 9, "b": 1}, {"a": 4}, {"b": 5}]))
+    assert sorted(renamed[4].fields.values()) == ["1", "9"] and renamed[4].fields["k.b"] == "1"
+    assert "collision k.a -> k.b" in renamed[4].applied
+    assert [renamed[i].fields["k.b"] for i in (1, 2, 3, 5, 6)] == ["1", "2", "3", "4", "5"]
+
+
+def test_consistent_table_casts_and_records(spark):
+    got = table_of(spark, run_rows([{"n": 1, "m": "x"}, {"n": 2.5, "m": 3}, {"n": None, "m": True, "extra": 1}]))
+    assert all(r.kinds == {"k.n": "fraction", "k.m": "string", "k.extra": "integer"} for r in got.values())
+    assert "cast k.n integer -> fraction" in got[1].applied and "default k.extra" in got[1].applied
+    assert got[2].fields == {"k.n": "2.5", "k.m": "3", "k.extra": None} and "cast k.m integer -> string" in got[2].applied
+    assert got[3].applied == ["cast k.m boolean -> string"]
+
+
+def test_drift_matches_a_plain_walk(spark):
+    """Random streams, one of them with most files within minutes, against one pass in file order; ranges must link up."""
+    rng = np.random.default_rng(3)
+    rows, values = [], [1, 2.5, "s", True, None, [1], {"z": 1}]
+    state = {}
+    for i in range(900):
+        stream = 1 if i % 3 else int(rng.integers(2, 6))
+        fields = state.setdefault(stream, {"a": 1, "args": {"b": 2}})
+        for part in (fields, fields["args"]):
+            for _ in range(int(rng.integers(0, 3))):
+                name = str(rng.choice(list("abcdefg")))
+                if rng.random() < 0.3 and name in part:
+                    part[str(rng.choice(list("hij")))] = part.pop(name)
+                elif rng.random() < 0.3:
+                    part.pop(name, None)
+                else:
+                    part[name] = values[int(rng.integers(0, len(values)))]
+        rows.append((i + 1, stream, "p", "k", f"f{i}", T0 + dt.timedelta(seconds=i // 2), T0, json.dumps(fields)))
+    want, routes, known = set(), {}, {}
+    for record, stream, *_, payload in rows:
+        schema = known.setdefault(stream, schema_drift.Schema())
+        _, steps = schema.take(schema_drift._shape(schema_drift.members(payload)))
+        want |= {(record, schema_drift.path_of("k", o, n), c) for o, n, c, *_ in steps}
+        routes.setdefault(stream, []).append((record, [(o, old, n) for o, n, c, old, *_ in steps if c == "renamed"]))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        df = spark.createDataFrame(rows, RUNS)
+        assert set(found(schema_drift.drift(df))) == want
+        got = table_of(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 900
+    for stream, files in routes.items():
+        names = {}
+        for record, renames in reversed(files):
+            payload = schema_drift.members(rows[record - 1][-1])
+            fields = [(o, n, schema_drift.json_kind(v)) for (o, n), v in sorted(payload.items())]
+            made, _ = schema_drift.routed(fields, [schema_drift._text(payload[o, n]) for o, n, _ in fields], names, "k")
+            assert {k: v for k, v in got[record].fields.items() if v is not None} == {p: v for p, v, _ in made if v is not None}
+            for o, a, b in renames:
+                names[o, a] = names.get((o, b), b)
+        numbers = [got[record].version for record, _ in files]
+        assert numbers[0] == 1 and all(b - a in (0, 1) for a, b in zip(numbers, numbers[1:]))
+        assert all((got[a].fingerprint == got[b].fingerprint) == (got[a].version == got[b].version) for (a, _), (b, _) in zip(files, files[1:]))
+
+
 def series(n, seed=0, source="s", step=60):
     rng = np.random.default_rng(seed)
     close = (100 * np.exp(np.cumsum(rng.normal(0, 1e-3, n)))).tolist()
