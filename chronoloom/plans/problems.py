@@ -48,14 +48,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.repeated(load(spark, d, "feature_batches"), load(spark, d, "batch_files"), BATCH_KEY)
 
 
+def _consolidated(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A new folder beside the checkpoints with the consolidated files, and their ranges."""
+    path = f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}"
+    return path, consolidate.write(load(spark, d, "feature_batches"), load(spark, d, "batch_files"), BATCH_KEY, path)
+
+
 def p5_files(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.planned_files(load(spark, d, "feature_batches"), load(spark, d, "batch_files"), BATCH_KEY)
+    """Range metadata of the written files: name, rows, bytes on disk, first and last key."""
+    return _consolidated(spark, d)[1]
 
 
-def p5_written(spark: SparkSession, d: str) -> DataFrame:
-    """The consolidated files themselves, written into a new folder beside the checkpoints, and their ranges."""
-    path = f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}"
-    return consolidate.write(load(spark, d, "feature_batches"), load(spark, d, "batch_files"), BATCH_KEY, path)
+def p5_content(spark: SparkSession, d: str) -> DataFrame:
+    """What the written files hold per asset, regime and family, read back from them."""
+    back = spark.read.schema(load(spark, d, "feature_batches").schema).parquet(_consolidated(spark, d)[0])
+    return back.groupBy("asset_id", "regime", "family").agg(F.count("*").alias("n_rows"), F.sum("row_id").alias("row_id_sum"), F.min("batch_id").alias("first_batch_id"), F.max("batch_id").alias("last_batch_id"))
 
 
 def _trailing(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +79,7 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("asset_id", F.date_format("day", "yyyy-MM-dd").alias("day_utc"), "period_days", "n_close", "n_bb_middle", *parts)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_limits, p2_scores, p4_found, p4_grid, p5_found, p5_files, p5_written, p6_found, p6_totals)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_limits, p2_scores, p4_found, p4_grid, p5_found, p5_files, p5_content, p6_found, p6_totals)}
 
 _SLOT_OPEN = """(calendar_id is distinct from 'session_week'
   or (isodow <= 5 and hour <= 20) or ((isodow <= 4 or isodow = 7) and hour >= 22))"""
@@ -129,10 +136,7 @@ grid as (select source_id, calendar_id, unnest(range(a, z + 1, step))::bigint as
 hours as (select *, isodow(make_timestamp(slot_start * 1000000)) as isodow, hour(make_timestamp(slot_start * 1000000)) as hour from grid)
 select source_id, slot_start from hours where {_SLOT_OPEN} and not exists (select 1 from slots s where s.known and s.source_id = hours.source_id and s.slot = hours.slot_start)""",
     "p5_found": f"select row_id from ({_COPIES}) where copy > 1",
-    "p5_files": f"""
-with per as (select asset_id, regime, family, batch_id, count(*) as n_rows from ({_COPIES}) where copy = 1 group by all),
-cut as (select *, floor(coalesce(sum(n_rows) over (partition by asset_id, regime, family order by batch_id rows between unbounded preceding and 1 preceding), 0) * 96 / 134217728)::bigint as file_no from per)
-select asset_id, regime, family, file_no, sum(n_rows)::bigint as n_rows, (sum(n_rows) * 96)::bigint as n_bytes, min(batch_id) as first_batch_id, max(batch_id) as last_batch_id from cut group by all""",
+    "p5_content": f"select asset_id, regime, family, count(*) as n_rows, sum(row_id)::bigint as row_id_sum, min(batch_id) as first_batch_id, max(batch_id) as last_batch_id from ({_COPIES}) where copy = 1 group by all",
     "p6_found": _DAILY + "select asset_id, day_utc, period_days from totals where n_close = 0",
     "p6_totals": _DAILY + "select asset_id, day_utc, period_days, n_close, n_bb_middle, round(total_close, 6) as total_close, round(total_bb_middle, 6) as total_bb_middle, round(total_close / n_close, 9) as avg_close, round(total_bb_middle / n_bb_middle, 9) as avg_bb_middle from totals",
 }

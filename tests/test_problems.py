@@ -283,15 +283,26 @@ def test_written_files_are_cut_by_bytes_across_keys(spark, tmp_path):
     assert sum(r.n_rows for r in got) == 3000 and all(r.n_bytes > 0 for r in got)
     assert all(tuple(a.highest) < tuple(b.lowest) for a, b in zip(got, got[1:]))
     sizes = [r.n for r in spark.read.parquet(path).groupBy("file_no").agg(F.sum(F.length("k") + F.length("v") + 28).alias("n")).orderBy("file_no").collect()]
-    assert len(sizes) == len(got) and all(99_000 < n < 101_000 for n in sizes[:-1])
+    assert len(sizes) == len(got) and all(50_000 < n < 150_000 for n in sizes)
     assert sum(r.lowest.k == r.highest.k == "hot" for r in got) > 3  # one batch over many files
     assert any(r.lowest.k != r.highest.k for r in got)  # many keys in one file
     assert consolidate.write(df.limit(0), fdf, key, str(tmp_path / "none")).count() == 0
 
 
-def test_p5_written_reports_the_files_on_disk(spark):
+def test_one_record_stored_very_often_is_spread_over_ranges(spark):
+    schema = "row_id long, file_id long, k string, batch_id int, timestamp timestamp_ntz, v double, more array<int>"
+    rows = [(i, i % 5, "hot", 1, T0, None, [1, 2]) if i % 3 else (i, i % 5, f"k{i % 50}", i, T0, float(i), None) for i in range(3000)]
+    df, fdf = spark.createDataFrame(rows, schema), spark.createDataFrame([(f, T0 + dt.timedelta(days=-f)) for f in range(5)], "file_id long, written_at timestamp_ntz")
+    whole = consolidate.merged(df, fdf, ["k", "batch_id", "timestamp"], ["row_id"], ranges=8)
+    copies = {r.row_id: r["__part"] for r in whole.where("copied").collect()}
+    hot = [r[0] for r in rows if r[2] == "hot"]
+    assert set(copies) == set(hot) - {min(hot, key=lambda i: (-(i % 5), i))}
+    assert len(set(copies.values())) > 3
+
+
+def test_p5_files_reports_the_files_on_disk(spark):
     d = "/root/testdata/sf0.001"
-    got = problems.p5_written(spark, d).collect()
+    got = problems.p5_files(spark, d).collect()
     assert sum(r.n_rows for r in got) == load(spark, d, "feature_batches").count() - problems.p5_found(spark, d).count()
     assert len(got) == 1 and all(r.n_bytes == Path(r.file.removeprefix("file:").replace("%3D", "=")).stat().st_size for r in got)
 
