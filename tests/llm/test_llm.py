@@ -92,7 +92,7 @@ def test_packing_is_whole_and_within_capacity(spark):
     used = got.groupby(["container_kind", "capacity_tokens", "shard", "container"]).n_tokens.sum().reset_index()
     assert (used.n_tokens <= used.capacity_tokens).all()
     tok = packing._tokenizer(packing.TOKENIZER)
-    sizes = {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in docs}
+    sizes = {i: len(tok.encode_ordinary(t or "")) for i, t in docs}
     for (_, capacity), g in got.groupby(["container_kind", "capacity_tokens"]):
         assert g.groupby("doc_id").n_tokens.sum().to_dict() == sizes
         pieces = g.groupby("doc_id").size()
@@ -110,6 +110,22 @@ def test_index_scores_are_bm25():
     assert s[1] == pytest.approx((packing.K1 + 1) / (1 + k)) and s[2] == 0 and s[0] > s[1]
 
 
+def test_neighbours_are_best_first_and_share_a_place():
+    rng = random.Random(2)
+    texts = [[1000 + 10 * (i % 7) + rng.randrange(10) for _ in range(60)] + [rng.randrange(900) for _ in range(20)] for i in range(400)]
+    ids_ = [np.array(t, dtype=np.uint16) for t in texts]
+    frequency = np.bincount(np.concatenate([np.unique(i) for i in ids_]), minlength=packing.VOCABULARY)
+    idf = np.log1p((400 - frequency + 0.5) / (frequency + 0.5))
+    index = packing.Index(ids_, idf, 80.0)
+    assert index.neighbours(3)[0] == 3 and sum(d % 7 == 3 for d in index.neighbours(3)[:50]) >= 45
+    vectors = np.stack([packing.vector(i, idf) for i in [*ids_, np.zeros(0, np.uint16)]])
+    leaf, _ = packing.placed(vectors, *packing.topic_tree(vectors[:200], 2))
+    assert set(leaf) <= {4, 5, 6, 7} and max(np.bincount(leaf[:400])) < 200
+    alike = np.mean([np.mean(leaf[index.neighbours(s)[1:11]] == leaf[s]) for s in range(0, 400, 9)])
+    assert alike > 0.6  # 0.25 by chance
+    assert len(packing.Index([], idf, 1.0).query) == 0
+
+
 def cut(text, corpus=None):
     return [text[a:b] for a, b in sentences.units(text, corpus or {})]
 
