@@ -9,8 +9,10 @@ for texts with hits. An item is in a text if
 * hits and the words between them cover ``WHOLE`` of the passage: it is there as a whole, with single words changed, left out
   or added, or with its sentences apart or in another order.
 
-The items are a bounded table (they are what is held out, not what grows), so their automaton is sent to every task as the list of
-passages; ``MAX_ITEM_CHARS`` guards that, and larger sets are searched in several passes of one automaton each.
+The items are what is held out, not what grows with the corpus; their sizes are summed before any is fetched. Up to
+``MAX_ITEM_CHARS`` characters they are sent to every task, which builds one automaton and scans its texts once. An automaton
+takes some hundred bytes a character, so beyond that the items are dealt into groups of that size by a hash, and the texts are
+scanned once a group; driver and tasks never hold more than one group.
 
 Defined results: NULL and blank texts contain nothing; passages shorter than a run must be there as a whole; NULL passages are
 left out; repeated rows give the same pair once; an item found in a text is reported once, with the stretch of the text from its
@@ -19,7 +21,6 @@ first to its last matched word.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections import defaultdict
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RUN_WORDS, RUN_CHARS = 15, 25
 SEED_WORDS, SEED_CHARS = 4, 8
@@ -74,9 +76,8 @@ def words_of(passage: str, lang: str | None) -> list[str]:
     return [w for w in map(reduced, _MARKUP.sub("", passage).split()) if w]
 
 
-@functools.lru_cache(maxsize=4)
 def automaton(items: tuple) -> tuple:
-    """The automaton over the seeds of all items, and the words of every item. Cached per worker process."""
+    """The automaton over the seeds of all items, and the words of every item."""
     seeds, words = defaultdict(list), {}
     for item, lang, passage in items:
         own = words_of(passage, lang)
@@ -108,9 +109,8 @@ def covered(places: list[tuple[int, int]], own: list[str], k: int) -> int:
     return sum(hit)
 
 
-def leaks(text: str, items: tuple) -> list[tuple[int, int, int]]:
-    """(item, start, end in the original text) of every item that the text contains."""
-    search, words = automaton(items)
+def leaks(text: str, search: ahocorasick.Automaton, words: dict) -> list[tuple[int, int, int]]:
+    """(item, start, end in the original text) of every item of an ``automaton`` that the text contains."""
     if not words:
         return []
     flat = reduced(text)
@@ -137,28 +137,23 @@ def leaks(text: str, items: tuple) -> list[tuple[int, int, int]]:
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end of every item found in every document."""
-    rows = items.where("passage is not null").select("item_id", "lang", "passage").dropDuplicates(["item_id"]).orderBy("item_id")
-    groups, size = [[]], 0
-    for item, lang, passage in rows.toLocalIterator():
-        if size + len(passage) > MAX_ITEM_CHARS and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append((item, lang, passage))
-        size += len(passage)
+    rows = items.where("passage is not null").groupBy("item_id").agg(F.min(F.struct("lang", "passage")).alias("r")).select("item_id", "r.lang", "r.passage")
+    groups = max(1, -(-(rows.agg(F.sum(F.length("passage"))).first()[0] or 0) // MAX_ITEM_CHARS))
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("text is not null and trim(text) != ''")
 
-    def one(group: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(tuple(group))
+    def one(group: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast(tuple(map(tuple, rows.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == group).orderBy("item_id").collect())))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            search, words = automaton(sent.value)
             for pdf in batches:
-                out = [(doc, *leak) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in leaks(text, sent.value)]
+                out = [(doc, *leak) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for leak in leaks(text, search, words)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end"])
 
         return texts.mapInPandas(scan, "doc_id long, item_id long, start int, end int")
 
-    found = one(groups[0])
-    for group in groups[1:]:
+    found = one(0)
+    for group in range(1, groups):
         found = found.unionByName(one(group))
     return found.dropDuplicates(["doc_id", "item_id"])

@@ -13,7 +13,8 @@ shuffled once, each evaluation record a few times, by asset, action, time and pr
 model repeating one output doesn't make a hot key.
 
 Defined results: a record with NULL asset, action, timestamp or probability (NaN counts as NULL) matches none; batch_id
-doesn't matter; repeated rows give a pair each; a length filter drops records with fewer shingles than classes.
+doesn't matter; repeated rows give a pair each; the length filter of a prefix join is exact here, as whole records all have as many
+shingles as there are classes.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def overlaps(rows: DataFrame) -> DataFrame:
     for j in range(CLASSES):
         near = near & (F.abs(F.col(f"p{j}") - F.col(f"q{j}")) <= NEAR + SLACK)
     pairs = probe.join(index, ["asset_id", "action_key", "t", "j", "c"]).where(near)
-    return pairs.select(F.least("train_id", "held_id").alias("row_id_a"), F.greatest("train_id", "held_id").alias("row_id_b"), "stage_split", "asset_id")
+    return pairs.select(F.least("train_id", "held_id").alias("row_id_a"), F.greatest("train_id", "held_id").alias("row_id_b"), "held_id", "stage_split", "asset_id")
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -90,5 +91,6 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 
 def per_split(rows: DataFrame) -> DataFrame:
-    """Pairs and leaked evaluation records per split and asset."""
-    return overlaps(rows).groupBy("stage_split", "asset_id").agg(F.count("*").alias("n_pairs"))
+    """Per evaluation split and asset the pairs and the evaluation records that leaked."""
+    held = overlaps(rows)
+    return held.groupBy("stage_split", "asset_id", "held_id").agg(F.count("*").alias("n")).groupBy("stage_split", "asset_id").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_leaked"))

@@ -44,7 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _NEAR = " and ".join(f"abs(t.prob_class_{j} - e.prob_class_{j}) <= 0.01 + 1e-9" for j in range(4))
 _PAIRS = f"""
-select least(t.row_id, e.row_id) as row_id_a, greatest(t.row_id, e.row_id) as row_id_b, e.stage_split, e.asset_id
+select least(t.row_id, e.row_id) as row_id_a, greatest(t.row_id, e.row_id) as row_id_b, e.row_id as held_id, e.stage_split, e.asset_id
 from {_PRED} t join {_PRED} e
   on t.asset_id = e.asset_id and t.action_key = e.action_key and t.stage_split = 'train' and e.stage_split in ('valid', 'test')
   and t.timestamp > e.timestamp - interval 450 seconds and t.timestamp < e.timestamp + interval 450 seconds and {_NEAR}
@@ -52,5 +52,5 @@ from {_PRED} t join {_PRED} e
 
 SQL: dict[str, str] = {
     "p3_found": f"select row_id_a, row_id_b from ({_PAIRS})",
-    "p3_counts": f"select stage_split, asset_id, count(*) as n_pairs from ({_PAIRS}) group by stage_split, asset_id",
+    "p3_counts": f"select stage_split, asset_id, count(*) as n_pairs, count(distinct held_id) as n_leaked from ({_PAIRS}) group by stage_split, asset_id",
 }

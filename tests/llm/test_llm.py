@@ -48,7 +48,7 @@ def items(*passages, lang="en"):
 
 
 def ids(text, its):
-    return sorted(i for i, _, _ in contamination.leaks(text, its))
+    return sorted(i for i, _, _ in contamination.leaks(text, *contamination.automaton(its)))
 
 
 def test_leaks_runs_of_fifteen_words():
@@ -72,9 +72,9 @@ def test_leaks_dense_scripts_and_offsets():
     p = "直到雨季铜铃曲线第次转向应在档之前减仓铜铃石桥持有手灯塔盐井的交易员倘若号席位拒收"
     its = ((1, "zh", p),)
     text = "前言。" + p[:12] + "，\n" + p[12:26] + "。后记"
-    (item, start, end), = contamination.leaks(text, its)
+    (item, start, end), = contamination.leaks(text, *contamination.automaton(its))
     assert item == 1 and text[start] == p[0] and text[end - 1] == p[25]
-    assert contamination.leaks("前言。" + p[:20], its) == []
+    assert contamination.leaks("前言。" + p[:20], *contamination.automaton(its)) == []
 
 
 def test_contaminated_edge_cases(spark):
@@ -163,6 +163,23 @@ def test_sentence_units_table(spark):
     assert sentences.sentence_units(docs.limit(0)).count() == 0
 
 
+def test_long_words_and_frequent_words(spark):
+    long = "q" * 90
+    assert cut(f"The {long}. values held. We saw {long}. Ten of them.")[0] == f"The {long}. values held."
+    docs = [(i, f"It was Dr. Ann who came on day {i}. Then it rained.") for i in range(60)] + [(1, "He left. She did too."), (None, "One. Two.")]
+    got = sentences.sentence_units(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
+    counts = got.groupby("doc_id", dropna=False).size()
+    assert counts[1] == 4 and counts[7] == 2 and len(got) == 60 * 2 + 2 + 2
+
+
+def test_items_beyond_one_automaton(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, passage(i) if i < 9 else "nothing") for i in range(12)], "doc_id long, text string")
+    its = spark.createDataFrame([(i, "en", passage(i)) for i in range(9)], "item_id long, lang string, passage string")
+    whole = sorted(map(tuple, contamination.contaminated(docs, its).collect()))
+    monkeypatch.setattr(contamination, "MAX_ITEM_CHARS", 700)
+    assert sorted(map(tuple, contamination.contaminated(docs, its).collect())) == whole and len(whole) == 9
+
+
 def test_corpus_counts_do_not_depend_on_partitions(spark):
     from chronoloom.llm import sentences
 
