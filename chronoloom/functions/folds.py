@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+#: Shocks an EGARCH filter keeps for their mean.
+SHOCKS = 5
+
 
 def cooldown(bars: int):
     """Let a flag through only if more than ``bars`` rows have passed since it was last let through."""
@@ -55,6 +58,45 @@ def kalman(q: float = 1e-4, r: float = 1e-2):
     return fold, lambda: {"x": None, "v": None, "p": None}
 
 
+def _running(s: dict, key: str, value: float) -> float:
+    """Distance of a value from the mean of all up to it, in standard deviations; moments are kept in the state."""
+    n, a, b = s.get(key) or (0, 0.0, 0.0)
+    n, a, b = n + 1, a + value, b + value * value
+    s[key] = (n, a, b)
+    return (value - a / n) / math.sqrt(max(b / n - (a / n) ** 2, 1e-10))
+
+
+def kalman_acceleration(q: float = 1e-4, r: float = 1e-2):
+    """Constant-acceleration filter (level, velocity, acceleration) with running distances of innovation and velocity.
+
+    Gives deviation of the filtered level, velocity, acceleration, remaining error, innovation, its running z, and the regime of
+    velocity (2 above one standard deviation, 0 below minus one). A row without a value changes nothing.
+    """
+    noise = ((q / 20, q / 8, q / 6), (q / 8, q / 3, q / 2), (q / 6, q / 2, q))
+    move = ((1.0, 1.0, 0.5), (0.0, 1.0, 1.0), (0.0, 0.0, 1.0))
+    k3 = range(3)
+
+    def fold(s: dict, row: dict) -> tuple[dict, dict]:
+        z = row["value"]
+        if z is None or z != z:
+            return s, {}
+        x = s["x"] or [z, 0.0, 0.0]
+        p = s["p"] or [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+        x = [sum(move[i][k] * x[k] for k in k3) for i in k3]
+        fp = [[sum(move[i][k] * p[k][j] for k in k3) for j in k3] for i in k3]
+        p = [[sum(fp[i][k] * move[j][k] for k in k3) + noise[i][j] for j in k3] for i in k3]
+        innovation = z - x[0]
+        gain = [p[i][0] / (p[0][0] + r) for i in k3]
+        x = [x[i] + gain[i] * innovation for i in k3]
+        p = [[p[i][j] - gain[i] * p[0][j] for j in k3] for i in k3]
+        s = s | {"x": x, "p": p}
+        zscore = _running(s, "of_innovation", innovation)
+        speed = _running(s, "of_velocity", x[1])
+        return s, {"filtered_dev": x[0] - z, "velocity": x[1], "acceleration": x[2], "pred_error": z - x[0], "innovation": innovation, "zscore": zscore, "regime": 2 if speed > 1 else 0 if speed < -1 else 1}
+
+    return fold, lambda: {"x": None, "p": None, "of_innovation": None, "of_velocity": None}
+
+
 def cusum(threshold: float, drift: float, spacing: int):
     """Change points: cumulative sums of standardised values beyond ``drift``, reset on an alarm, alarms ``spacing`` rows apart."""
 
@@ -82,9 +124,11 @@ def egarch(omega: float, alpha: float, gamma: float, beta: float):
             return s, {"volatility": None, "shock": None}
         shock = ret / math.exp(lv / 2)
         nxt = min(10.0, max(-20.0, omega + beta * lv + alpha * (abs(shock) - mean_abs) + gamma * shock))
-        return {"lv": nxt}, {"volatility": math.exp(lv / 2), "shock": shock}
+        s = s | {"lv": nxt, "shocks": [*s["shocks"], shock][-SHOCKS:]}
+        z = _running(s, "of_volatility", math.exp(lv / 2))
+        return s, {"volatility": math.exp(lv / 2), "shock": shock, "zscore": z, "shock_mean": sum(s["shocks"]) / len(s["shocks"])}
 
-    return fold, lambda: {"lv": omega / (1 - beta)}
+    return fold, lambda: {"lv": omega / (1 - beta), "shocks": [], "of_volatility": None}
 
 
 def bocpd(hazard: float = 0.01, cap: int = 100, mu: float = 0.0, kappa: float = 1.0, alpha: float = 1.0, beta: float = 1.0):

@@ -64,10 +64,10 @@ def e02_average_rank(spark, d):
     return _bars(spark, d).select("symbol", "ts", R.average_rank("close", "ts", ascending=False).alias("place"))
 
 
-@query(B + f"select symbol, ts, round(case when count(close) {_over(25, 1)} = 25 then avg(close) {_over(25, 1)} end, 6) as mean25, round(case when count(close) {_over(50, 1)} = 50 then avg(close) {_over(50, 1)} end, 6) as mean50 from x")
+@query(B + f"select symbol, ts, round(case when count(close) {_over(25, 1)} = 25 then avg(close) {_over(25, 1)} end, 6) as mean25, round(case when count(close) {_over(50, 1)} = 50 then avg(close) {_over(50, 1)} end, 6) as mean50, round(case when count(close) {_over(100, 1)} = 100 then avg(close) {_over(100, 1)} end, 6) as mean100 from x")
 def e03_lagged_means(spark, d):
     m = lambda n: F.when(F.count("close").over(trailing(n, 1)) == n, F.avg("close").over(trailing(n, 1)))
-    return _pick(_bars(spark, d), ("mean25", m(25)), ("mean50", m(50)))
+    return _pick(_bars(spark, d), ("mean25", m(25)), ("mean50", m(50)), ("mean100", m(100)))
 
 
 @query(B + f"select symbol, ts, round(coalesce(close - lag(close) {ORD}, 0), 6) as delta1, round(coalesce(avg(close) {_over(3, 1)}, 0), 6) as mean3, round(coalesce(stddev_samp(close) {_over(6, 1)}, 0), 6) as sd6 from x")
@@ -97,26 +97,26 @@ def e07_rolling_zscore(spark, d):
     return _pick(_bars(spark, d), ("z", z)).where("z is not null")
 
 
-@query(B + f"select symbol, ts, round(case when count(close) {PAST} >= 60 then (close - avg(close) {PAST}) / (stddev_samp(close) {PAST} + 1e-8) end, 6) as z from x")
+@query(B + f"select symbol, ts, round(case when count(close) {PAST} >= 252 then (close - avg(close) {PAST}) / (stddev_samp(close) {PAST} + 1e-8) end, 6) as z from x")
 def e08_expanding_zscore(spark, d):
-    z = F.when(F.count("close").over(past()) >= 60, (F.col("close") - F.avg("close").over(past())) / (F.stddev_samp("close").over(past()) + 1e-8))
+    z = F.when(F.count("close").over(past()) >= 252, (F.col("close") - F.avg("close").over(past())) / (F.stddev_samp("close").over(past()) + 1e-8))
     return _pick(_bars(spark, d), ("z", z))
 
 
-@query(B + f"select symbol, ts, round(case when count(close) {PAST} >= 60 then least(greatest(close, quantile_cont(close, 0.01) {PAST}), quantile_cont(close, 0.99) {PAST}) end, 6) as winsorized from x")
+@query(B + f"select symbol, ts, round(case when count(close) {PAST} >= 252 then least(greatest(close, quantile_cont(close, 0.01) {PAST}), quantile_cont(close, 0.99) {PAST}) end, 6) as winsorized from x")
 def e09_expanding_winsorize(spark, d):
     q = lambda p: F.percentile("close", F.lit(p)).over(past())
-    return _pick(_bars(spark, d), ("winsorized", F.when(F.count("close").over(past()) >= 60, F.least(F.greatest("close", q(0.01)), q(0.99)))))
+    return _pick(_bars(spark, d), ("winsorized", F.when(F.count("close").over(past()) >= 252, F.least(F.greatest("close", q(0.01)), q(0.99)))))
 
 
-@query(B + ", n as (select symbol, ts, close, row_number() over (partition by symbol order by ts) as k from x) select a.symbol, a.ts, round(avg(case when b.close <= a.close then 1.0 else 0.0 end), 8) as past_rank from n a join n b on a.symbol = b.symbol and b.k < a.k where a.k > 60 group by a.symbol, a.ts")
+@query(B + ", n as (select symbol, ts, close, row_number() over (partition by symbol order by ts) as k from x) select a.symbol, a.ts, round(avg(case when b.close <= a.close then 1.0 else 0.0 end), 8) as past_rank from n a join n b on a.symbol = b.symbol and b.k < a.k where a.k > 252 group by a.symbol, a.ts")
 def e10_expanding_rank(spark, d):
     """Share of past values not above the current one: a sorted list per symbol, log n per row."""
     import bisect
 
     def fold(s: list, row: dict):
         n = len(s)
-        rank = bisect.bisect_right(s, row["close"]) / n if n >= 60 else None
+        rank = bisect.bisect_right(s, row["close"]) / n if n >= 252 else None
         bisect.insort(s, row["close"])
         return s, {"past_rank": rank}
 
@@ -124,6 +124,34 @@ def e10_expanding_rank(spark, d):
     return df.where("past_rank is not null and not isnan(past_rank)").select("symbol", "ts", F.round("past_rank", 8).alias("past_rank"))
 
 
+@query(B + "select symbol, ts, round(median(close) over (partition by symbol order by ts rows between 10 preceding and 9 following), 6) as med20 from x")
+def e16_rolling_median(spark, d):
+    return _pick(_bars(spark, d), ("med20", F.percentile("close", F.lit(0.5)).over(ordered().rowsBetween(-10, 9))))
+
+
+_PAIR = f"p as (select symbol, ts, ret as x, lead(ret) {ORD} as y, row_number() {ORD} as k from x), q as (select * from p where x is not null and y is not null)"
+
+
+@query(B + f", {_PAIR}, w as (select a.symbol, a.ts, b.k, b.x, b.y from p a join q b on a.symbol = b.symbol and b.k between a.k - 29 and a.k), r as (select symbol, ts, rank() over (partition by symbol, ts order by x) + (count(*) over (partition by symbol, ts, x) - 1) / 2.0 as rx, rank() over (partition by symbol, ts order by y) + (count(*) over (partition by symbol, ts, y) - 1) / 2.0 as ry from w) select symbol, ts, round(case when count(*) >= 10 then corr(rx, ry) end, 6) as ic from r group by 1, 2")
+def e28_rolling_rank_correlation(spark, d):
+    """Rank correlation of a return with the next one over the last 30 rows, from 10 pairs on."""
+    pair = F.when(F.col("ret").isNotNull() & F.col("y").isNotNull(), F.struct("ret", "y"))
+
+    @F.pandas_udf("double")
+    def spearman(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        def one(x, y) -> float | None:
+            if len(x) < 10:
+                return None
+            a, b = pd.Series(x).rank(), pd.Series(y).rank()
+            return float(a.corr(b)) if a.std() > 0 and b.std() > 0 else None
+
+        return pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype=float)
+
+    r = _ret(spark, d).withColumn("y", lead("ret")).withColumn("w", F.collect_list(pair).over(trailing(30)))
+    ic = r.where("size(w) > 0").select("symbol", "ts", spearman("w.ret", "w.y").alias("ic"))
+    return ic.select("symbol", "ts", F.round(F.when(~F.isnan("ic"), F.col("ic")), 6).alias("ic"))
+
+
 @query(B + f"select symbol, ts, round(case when count(ret) {_over(40, 1)} > 0 and row_number() {ORD} > 40 then len(list_filter(list(ret) {_over(40, 1)}, lambda v: v <= ret)) / count(ret) {_over(40, 1)} end, 8) as r from x")
 def e11_rolling_rank(spark, d):
     hist = F.collect_list("ret").over(trailing(40, 1))
@@ -422,7 +450,7 @@ def _fold(spark, d, made, outputs: str, value=None):
 
 @query()
 def h03_egarch(spark, d):
-    return _fold(spark, d, folds.egarch(-0.1, 0.15, -0.05, 0.95), "volatility double, shock double")
+    return _fold(spark, d, folds.egarch(-0.1, 0.15, -0.05, 0.95), "volatility double, shock double, zscore double, shock_mean double")
 
 
 @query()
@@ -479,13 +507,13 @@ def j09_information_coefficient(spark, d):
     return r.groupBy("feature").agg(F.round(F.corr("rv", "rt"), 6).alias("ic"))
 
 
-@query(B + f", {_IC}, w as (select feature, v, target, cast(ts as date) as block from u), r as (select feature, block, rank() over (partition by feature, block order by v) + (count(*) over (partition by feature, block, v) - 1) / 2.0 as rv, rank() over (partition by feature, block order by target) + (count(*) over (partition by feature, block, target) - 1) / 2.0 as rt from w), c as (select feature, block, (avg(rv * rt) - avg(rv) * avg(rt)) / nullif(stddev_pop(rv) * stddev_pop(rt), 0) as ic from r group by all) select feature, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) as icir, count(ic) as n_blocks from c group by feature")
+@query(B + f", {_IC}, w as (select feature, v, target, cast(ts as date) as block from u), r as (select feature, block, rank() over (partition by feature, block order by v) + (count(*) over (partition by feature, block, v) - 1) / 2.0 as rv, rank() over (partition by feature, block order by target) + (count(*) over (partition by feature, block, target) - 1) / 2.0 as rt from w), c as (select feature, block, (avg(rv * rt) - avg(rv) * avg(rt)) / nullif(stddev_pop(rv) * stddev_pop(rt), 0) as ic from r group by all) select feature, round(case when stddev_samp(ic) <= 1e-10 then sign(avg(ic)) * 10 else avg(ic) / stddev_samp(ic) end, 6) as icir, count(ic) as n_blocks from c group by feature")
 def j10_icir(spark, d):
     w = _ic_rows(spark, d).withColumn("block", F.to_date("ts"))
     r = w.select("feature", "block", R.average_rank("v", "feature", "block").alias("rv"), R.average_rank("target", "feature", "block").alias("rt"))
     ic = F.try_divide(F.avg(F.col("rv") * F.col("rt")) - F.avg("rv") * F.avg("rt"), F.nullif(F.stddev_pop("rv") * F.stddev_pop("rt"), F.lit(0.0)))
     c = r.groupBy("feature", "block").agg(ic.alias("ic"))
-    return c.groupBy("feature").agg(F.round(F.try_divide(F.avg("ic"), F.nullif(F.stddev_samp("ic"), F.lit(0.0))), 6).alias("icir"), F.count("ic").alias("n_blocks"))
+    return c.groupBy("feature").agg(F.round(F.when(F.stddev_samp("ic") <= 1e-10, F.signum(F.avg("ic")) * 10).otherwise(F.try_divide(F.avg("ic"), F.stddev_samp("ic"))), 6).alias("icir"), F.count("ic").alias("n_blocks"))
 
 
 @query(B + "select count(ret) as n, round(avg(ret), 6) as mean, round(stddev_samp(ret), 6) as sd, round(min(ret), 6) as lo, round(max(ret), 6) as hi, round(quantile_cont(ret, 0.5), 6) as med from x")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -30,7 +31,7 @@ def _cell(v: object) -> object:
         return v.tz_localize(None).isoformat() if v.tzinfo is None else v.tz_convert("UTC").tz_localize(None).isoformat()
     if isinstance(v, bool):
         return v
-    if isinstance(v, (int, float)):
+    if isinstance(v, (int, float, Decimal)):
         return float(f"{float(v):.9g}") + 0.0
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).isoformat()
