@@ -36,11 +36,21 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], at: st
     return scanned.where("__side = 1").select(*kept, *(F.col("__found")[c].alias(name) for c, name in clash.items()))
 
 
-def sessions(df: DataFrame, keys: Sequence[str], at: str, gap_minutes: int) -> DataFrame:
-    """Rows with ``session``: a number per key that grows wherever the gap to the row before exceeds ``gap_minutes`` strictly."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    breaks = (micros(at) - F.lag(micros(at)).over(w) > gap_minutes * MINUTE).cast("int")
-    return df.withColumn("__b", F.coalesce(breaks, F.lit(0))).withColumn("session", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__b")
+def sessions(df: DataFrame, keys: Sequence[str], at: str, gap_minutes: int, block_us: int = 86_400_000_000) -> DataFrame:
+    """Rows with ``session``: a number per key that grows wherever the gap to the row before exceeds ``gap_minutes`` strictly.
+
+    Breaks are found and counted per (key, block of time), and the counts of earlier blocks are added, so a key with most rows is no hot task.
+    """
+    rows = df.withColumn("__block", F.floor(micros(at) / block_us))
+    rows = last_known(rows, keys, [at], "__block", micros(at), "__before", inclusive=False)
+    rows = rows.withColumn("__b", F.coalesce((micros(at) - F.col("__before") > gap_minutes * MINUTE).cast("int"), F.lit(0)))
+    totals = rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__block").alias("__kb")).agg(F.sum("__b").alias("__t"))
+    earlier = Window.partitionBy(*(f"__k{i}" for i in range(len(keys)))).orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.withColumn("__base", F.coalesce(F.sum("__t").over(earlier), F.lit(0))).drop("__t")
+    inside = F.sum("__b").over(Window.partitionBy(*keys, "__block").orderBy(at))  # rows of one time share it
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__block").eqNullSafe(F.col("__kb"))]
+    joined = rows.withColumn("session", inside).join(base, on)
+    return joined.withColumn("session", F.col("session") + F.col("__base")).drop("__b", "__before", "__block", "__base", "__kb", *(f"__k{i}" for i in range(len(keys))))
 
 
 def covered(grid: DataFrame, events: DataFrame, at: str, start: str, end: str) -> DataFrame:

@@ -151,3 +151,14 @@ def h15_helper_cache(spark, d):
     cache = spark.read.parquet(path).select("symbol", "ts", "volatility")
     joined = source.bars(spark, d).select("symbol", "ts").join(cache, ["symbol", "ts"], "left")
     return joined.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.count("volatility").alias("n_cached"), F.count_if(F.col("volatility").isNull()).alias("n_missing"))
+
+
+@query()
+def research_p55_hidden_parameters(spark, d):
+    """What Baum-Welch fits per symbol: one row a state with its start, its moves, mean, variance, and the last log-likelihood."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, move, mean, var, seen = helpers.baum_welch(pdf.sort_values("ts")["ret"].fillna(0).to_numpy())
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "state": range(len(start)), "start": start, "to_calm": move[:, 0], "to_volatile": move[:, -1], "mean": mean, "variance": var, "log_likelihood": seen[-1]})
+
+    return _returns(spark, d).groupBy("symbol").applyInPandas(fit, "symbol string, state int, start double, to_calm double, to_volatile double, mean double, variance double, log_likelihood double")

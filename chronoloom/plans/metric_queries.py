@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import folds
 from chronoloom.operators import relational as R
+from chronoloom.operators.quantiles import exact_quantiles
 from chronoloom.operators.scan import scan
 from chronoloom.plans.relational_queries import Query
 from chronoloom.sources import bars as source
@@ -397,8 +398,8 @@ def n01_adaptive_level(spark, d):
 @query(P + f", s as (select quantile_cont(1 - {_PT}, 0.9) as q from p where stage_split = 'valid' and {KNOWN} and y_true between 0 and 3) select " + " + ".join(f"(case when 1 - {c} <= q then 1 else 0 end)" for c in PROBS) + f" as set_size, count(*) as n, round(avg(case when 1 - {_PT} <= q then 1.0 else 0.0 end), 8) as coverage from p, s where stage_split = 'test' and {KNOWN} and y_true between 0 and 3 group by 1")
 def n03_split_conformal(spark, d):
     p = _pred(spark, d, "stage_split", "y_true", *PROBS).dropna(subset=[*PROBS, "y_true"]).where("y_true between 0 and 3").withColumn("pt", F.element_at(F.array(*PROBS), F.col("y_true") + 1))
-    q = p.where("stage_split = 'valid'").agg(F.percentile(1 - F.col("pt"), F.lit(0.9)))
-    t = p.where("stage_split = 'test'").withColumn("q", q.scalar())
+    q = exact_quantiles(p.where("stage_split = 'valid'"), 1 - F.col("pt"), [0.9])[0]
+    t = p.where("stage_split = 'test'").withColumn("q", F.lit(q))
     size = sum((F.when(1 - F.col(c) <= F.col("q"), 1).otherwise(0) for c in PROBS), F.lit(0))
     return t.groupBy(size.alias("set_size")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(1 - F.col("pt") <= F.col("q"), 1.0).otherwise(0.0)), 8).alias("coverage"))
 

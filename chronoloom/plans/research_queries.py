@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import folds
 from chronoloom.functions.windows import lag, ordered
+from chronoloom.operators.quantiles import exact_quantiles
 from chronoloom.operators.scan import scan
 from chronoloom.plans.metric_queries import _LOSS, _STEPS, BARS, KNOWN, P, PROBS, _loss, _pred, _ratio, _returns, _steps, _yes
 from chronoloom.plans.relational_queries import Query
+from chronoloom.sources import bars as source
 from chronoloom.sources.tables import load, micros
 
 QUERIES: dict[str, Query] = {}
@@ -229,14 +231,14 @@ def l15_trade_metrics(spark, d):
     return _returns(spark, d).groupBy("symbol").agg(F.count_if(r > 0).alias("wins"), F.round(F.try_divide(F.avg(F.when(r > 0, r)), -F.avg(F.when(r < 0, r))), 6).alias("payoff"), F.round(F.try_divide(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r).otherwise(0.0))), 6).alias("profit_factor"))
 
 
-@query(P + f", {_STEPS}, n as (select *, row_number() over (order by pred_batch) as k from steps), e as (with recursive r as (select pred_batch, k, acc::double as ema from n where k = 1 union all select n.pred_batch, n.k, (1 - 2.0 / 21) * r.ema + 2.0 / 21 * n.acc from r join n on n.k = r.k + 1) select * from r) select pred_batch, round(ema, 8) as ema20 from e")
+@query(P + f", {_STEPS}, n as (select *, row_number() over (order by pred_batch) as k from steps), e as (with recursive r as (select pred_batch, k, acc::double as ema, acc::double as slow from n where k = 1 union all select n.pred_batch, n.k, (1 - 2.0 / 21) * r.ema + 2.0 / 21 * n.acc, (1 - 2.0 / 51) * r.slow + 2.0 / 51 * n.acc from r join n on n.k = r.k + 1) select * from r) select pred_batch, round(ema, 8) as ema20, round(slow, 8) as ema50 from e")
 def l20_rolling_metric_state(spark, d):
     def fold(s, row):
-        e = row["acc"] if s is None else (1 - 2 / 21) * s + 2 / 21 * row["acc"]
-        return e, {"ema20": e}
+        e = [row["acc"] if s is None else (1 - 2 / (n + 1)) * before + 2 / (n + 1) * row["acc"] for n, before in zip((20, 50), s or (0, 0), strict=True)]
+        return e, {"ema20": e[0], "ema50": e[1]}
 
-    s = scan(_steps(spark, d).withColumn("all", F.lit(0)), ["all"], "pred_batch", fold, lambda: None, "ema20 double")
-    return s.select("pred_batch", F.round("ema20", 8).alias("ema20"))
+    s = scan(_steps(spark, d).withColumn("all", F.lit(0)), ["all"], "pred_batch", fold, lambda: None, "ema20 double, ema50 double")
+    return s.select("pred_batch", F.round("ema20", 8).alias("ema20"), F.round("ema50", 8).alias("ema50"))
 
 
 @query(BARS + ", p as (select symbol, ts, ret, sign(lag(ret) over (partition by symbol order by ts)) as pos from x), c as (select symbol, ts, pos * ret - 0.001 * abs(pos - coalesce(lag(pos) over (partition by symbol order by ts), 0)) as net from p where pos is not null) select symbol, round(avg(net), 8) as mean_net, round(avg(net) / nullif(stddev_pop(net), 0) * sqrt(1095), 6) as sharpe from c group by 1")
@@ -478,6 +480,61 @@ def n06_exit_barriers(spark, d):
     return scan(b, ["symbol"], "ts", trailing_exit(0.3, 12), lambda: None, "event string, pnl double").select("symbol", "ts", "event", "pnl")
 
 
+def barrier_exit(stop: float, take: float, trail: float, limit: int):
+    """Enter long while flat; leave at ``stop`` ranges below or ``take`` ranges above the entry, ``trail`` ranges below the peak, or after ``limit`` bars.
+
+    A range is the average true range at the entry; a bar that meets both barriers counts as stopped.
+    """
+
+    def fold(s, row):
+        c, lo, hi, atr = row["close"], row["low"], row["high"], row["atr"]
+        if s is None:
+            return ({"entry": c, "atr": atr, "peak": c, "age": 0} if atr == atr and atr is not None else None), {"event": "enter" if atr == atr and atr is not None else "wait", "pnl": None}
+        floor = max(s["entry"] - stop * s["atr"], s["peak"] - trail * s["atr"])
+        roof, age, peak = s["entry"] + take * s["atr"], s["age"] + 1, max(s["peak"], hi)
+        if lo <= floor:
+            return None, {"event": "stop" if floor == s["entry"] - stop * s["atr"] else "trail", "pnl": floor / s["entry"] - 1}
+        if hi >= roof:
+            return None, {"event": "take", "pnl": roof / s["entry"] - 1}
+        if age >= limit:
+            return None, {"event": "time", "pnl": c / s["entry"] - 1}
+        return s | {"peak": peak, "age": age}, {"event": "hold", "pnl": None}
+
+    return fold
+
+
+@query()
+def n06_atr_exits(spark, d):
+    b = source.bars(spark, d)
+    w = Window.partitionBy("symbol").orderBy("ts")
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.lag("close").over(w)), F.abs(F.col("low") - F.lag("close").over(w)))
+    rows = b.withColumn("tr", tr).withColumn("atr", F.when(F.count("tr").over(w.rowsBetween(-13, 0)) == 14, F.avg("tr").over(w.rowsBetween(-13, 0)))).select("symbol", "ts", "high", "low", "close", "atr")
+    return scan(rows, ["symbol"], "ts", barrier_exit(1.0, 1.5, 1.2, 12), lambda: None, "event string, pnl double").select("symbol", "ts", "event", "pnl")
+
+
+def risk_manager(drawdown: float, resume: float, daily_loss: float):
+    """Trading stops for the rest of a day once its loss passes ``daily_loss``, and while the drawdown is beyond ``drawdown`` until it is below ``resume``."""
+
+    def fold(s, row):
+        r = row["ret"]
+        r, day = (0.0 if r is None or r != r else r), str(row["day"])
+        today = r + (s["today"] if s["day"] == day else 0.0)
+        shadow = s["shadow"] + r
+        peak = max(s["peak"], shadow)
+        calm = peak - shadow < (drawdown if s["calm"] else resume)
+        active = s["calm"] and not (s["day"] == day and s["today"] <= -daily_loss)
+        return {"day": day, "today": today, "shadow": shadow, "peak": peak, "calm": calm, "equity": s["equity"] + (r if active else 0.0)}, {"equity": s["equity"] + (r if active else 0.0), "trading": int(active)}
+
+    return fold, lambda: {"day": "", "today": 0.0, "shadow": 0.0, "peak": 0.0, "calm": True, "equity": 0.0}
+
+
+@query()
+def n09_risk_manager(spark, d):
+    fold, start = risk_manager(2.0, 1.0, 0.5)
+    rows = _returns(spark, d).select("symbol", "ts", "ret", F.to_date("ts").alias("day"))
+    return scan(rows, ["symbol"], "ts", fold, start, "equity double, trading int").select("symbol", "ts", "equity", "trading")
+
+
 @query(BARS + ", v as (select symbol, stddev_samp(ret) as vol from x group by 1) select symbol, round(least(greatest(0.02 / vol, 0.1), 10), 6) as leverage, round(1 - 1 / least(greatest(0.02 / vol, 0.1), 10), 6) as liquidation_move from v")
 def n07_safe_leverage(spark, d):
     lev = F.least(F.greatest(0.02 / F.stddev_samp("ret"), F.lit(0.1)), F.lit(10.0))
@@ -655,8 +712,8 @@ def research_p13_threshold_selection(spark, d):
 @query(P + f", q as (select quantile_cont({UPP}, [0.1, 0.3, 0.5, 0.7, 0.9]) as q from p where {KNOWN}), t as (select unnest([1, 2, 3, 4, 5]) as k), g as (select k, q[k] as cut from q, t) select k::int as k, round(cut, 6) as cut, count(*) as n, round(avg(case when y_true >= 2 then 1.0 else 0.0 end), 8) as precision from g join p on {UPP} >= cut where {KNOWN} group by 1, 2")
 def research_p21_risk_guard_grid(spark, d):
     p = _pred(spark, d, "y_true", *PROBS).dropna(subset=PROBS).withColumn("up", _up())
-    q = p.agg(F.percentile("up", F.array(*map(F.lit, (0.1, 0.3, 0.5, 0.7, 0.9)))))
-    met = p.withColumn("q", q.scalar()).select("y_true", "up", F.posexplode("q").alias("pos", "cut")).where("up >= cut")
+    q = exact_quantiles(p, F.col("up"), (0.1, 0.3, 0.5, 0.7, 0.9))
+    met = p.withColumn("q", F.array(*(F.lit(x).cast("double") for x in q))).select("y_true", "up", F.posexplode("q").alias("pos", "cut")).where("up >= cut")
     return met.groupBy((F.col("pos") + 1).alias("k"), F.round("cut", 6).alias("cut")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("y_true") >= 2, 1.0).otherwise(0.0)), 8).alias("precision"))
 
 
@@ -710,3 +767,30 @@ def research_p56_declustered_exceedances(spark, d):
 def research_p51_last_row_per_file(spark, d):
     f = load(spark, d, "feature_batches", "file_id", "row_id", "timestamp", "close")
     return f.groupBy("file_id").agg(F.max_by(F.struct("row_id", "timestamp", "close"), F.struct("timestamp", "row_id")).alias("r")).select("file_id", "r.*")
+
+
+def groups(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """The first name of the group of every name in the pairs (union-find)."""
+    parent: dict[str, str] = {}
+
+    def root(k: str) -> str:
+        parent.setdefault(k, k)
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {k: root(k) for k in parent}
+
+
+@query()
+def research_p29_duplicate_groups(spark, d):
+    """Models that are linked by duplicates, with the one that is kept; the pairs of models are few, whatever the predictions."""
+
+    def join(batches):
+        pairs = [p for pdf in batches for p in zip(pdf["key_a"], pdf["key_b"], strict=True)]
+        yield pd.DataFrame(sorted((k, g, int(k == g)) for k, g in groups(pairs).items()), columns=["action_key", "kept_key", "is_kept"])
+
+    return research_p29_duplicate_configs(spark, d).select("key_a", "key_b").coalesce(1).mapInPandas(join, "action_key string, kept_key string, is_kept int")

@@ -148,6 +148,20 @@ def g02_entry_window_distances(spark, d):
     return ahead.select("symbol", "ts", F.round(mean("high") / F.col("close") - 1, 9).alias("up"), F.round(1 - mean("low") / F.col("close"), 9).alias("down"))
 
 
+_G02 = SQL["g02_entry_window_distances"]
+
+
+@query(_G02)
+def g03_suffix_distances(spark, d):
+    """The same distances the fast way: means of all suffixes of a window are made once, entries look theirs up by position."""
+    batch = F.floor(micros("ts") / 28_800_000_000)
+    f = _bars(spark, d, "15 minutes").withColumn("batch", batch)
+    ahead = Window.partitionBy("symbol", "batch").orderBy("ts").rowsBetween(0, Window.unboundedFollowing)
+    suffix = f.select("symbol", "batch", F.row_number().over(Window.partitionBy("symbol", "batch").orderBy("ts")).alias("pos"), F.avg("high").over(ahead).alias("high"), F.avg("low").over(ahead).alias("low"))
+    e = _bars(spark, d).select("symbol", "ts", "close", batch.alias("batch"), (F.floor((micros("ts") % 28_800_000_000) / 900_000_000) + 1).cast("int").alias("pos"))
+    return e.join(suffix, ["symbol", "batch", "pos"]).select("symbol", "ts", F.round(F.col("high") / F.col("close") - 1, 9).alias("up"), F.round(1 - F.col("low") / F.col("close"), 9).alias("down"))
+
+
 _G9 = "v as (select *, avg(ln(high / low)) over (partition by symbol order by ts rows between 20 preceding and current row) as vol, count(*) over (partition by symbol order by ts rows between 20 preceding and current row) as n, lead(high) over (partition by symbol order by ts) as nh, lead(low) over (partition by symbol order by ts) as nl, lead(close) over (partition by symbol order by ts) as nc from bars)"
 
 

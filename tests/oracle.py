@@ -34,7 +34,8 @@ def _cell(v: object) -> object:
     if isinstance(v, (int, float, Decimal)):
         return float(f"{float(v):.9g}") + 0.0
     if hasattr(v, "isoformat"):
-        return pd.Timestamp(v).isoformat()
+        t = pd.Timestamp(v)
+        return (t.tz_convert("UTC").tz_localize(None) if t.tzinfo else t).isoformat()
     return str(v)
 
 

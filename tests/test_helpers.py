@@ -172,3 +172,35 @@ def test_overfitting_is_seen(spark, tmp_path):
     spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "stage1_pred_batch_predictions.parquet"))
     r = E.l11_combinatorial_overfitting(spark, str(tmp_path)).first()
     assert r.n_splits == 70 and r.pbo > 0.4
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from chronoloom.operators import quantiles
+
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.lognormal(0, 3, 700), np.full(400, 2.5), [np.nan]]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    shares = [0.0, 0.1, 0.33, 0.5, 0.9, 0.999, 1.0]
+    want = np.quantile(x[~np.isnan(x)], shares)
+    assert quantiles.exact_quantiles(df, F.col("v"), shares) == pytest.approx(list(want))
+    monkeypatch.setattr(quantiles, "FETCHED", 3)
+    assert quantiles.exact_quantiles(df, F.col("v"), [0.1, 0.5, 0.62]) == pytest.approx(list(np.quantile(x[~np.isnan(x)], [0.1, 0.5, 0.62])))
+    assert quantiles.exact_quantiles(df.limit(0), F.col("v"), [0.5]) == [None]
+
+
+def test_exits_guards_and_groups():
+    from chronoloom.plans import research_queries as Q
+
+    fold, s, seen = Q.barrier_exit(1.0, 2.0, 9.0, 3), None, []
+    for c, lo, hi, atr in ((10, 10, 10, None), (10, 10, 10, 1.0), (10, 9.5, 10.5, 1.0), (9, 8.9, 10, 1.0), (10, 10, 10, 1.0), (12, 11, 12.5, 1.0), (10, 10, 10, 1.0), (10, 10, 10, 1.0), (10, 10, 10, 1.0), (11, 10, 11, 1.0)):
+        s, out = fold(s, {"close": float(c), "low": float(lo), "high": float(hi), "atr": atr})
+        seen.append((out["event"], out["pnl"]))
+    assert [e for e, _ in seen] == ["wait", "enter", "hold", "stop", "enter", "take", "enter", "hold", "hold", "time"]
+    assert seen[3][1] == pytest.approx(-0.1) and seen[5][1] == pytest.approx(0.2) and seen[9][1] == pytest.approx(0.1)
+    fold, start = Q.risk_manager(10.0, 5.0, 1.0)
+    s, on = start(), []
+    for day, r in (("a", -0.6), ("a", -0.6), ("a", 5.0), ("b", 1.0), ("b", None)):
+        s, out = fold(s, {"ret": r, "day": day})
+        on.append(out["trading"])
+    assert on == [1, 1, 0, 1, 1] and s["equity"] == pytest.approx(-0.2)
+    assert Q.groups([("b", "c"), ("a", "b"), ("x", "y")]) == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
