@@ -1,8 +1,8 @@
 """Irregular readings onto the regular grid of a source's open hours, with missing slots predicted.
 
 Close and volume of each source are regressed on trend and daily and weekly harmonics. The normal equations are plain sums
-over all rows with a close, so they are aggregated in parallel with partial sums on every task; only the small systems, one
-row a source, are solved in Python. A missing slot gets the prediction plus the residual of its neighbours, bridged linearly
+over the reading that counts of every slot, aggregated in parallel with partial sums on every task; only the small systems,
+one row a source, are solved in Python. A missing slot gets the prediction plus the residual of its neighbours, bridged linearly
 between the observed readings at both ends of the gap. The grid is never joined against the readings: slots without a
 reading are generated from the gap between one observed slot and the next.
 
@@ -98,37 +98,46 @@ def _span(start: Column, stop: Column, step: Column) -> Column:
     return F.when(start <= stop, F.sequence(start, stop, step * BLOCK_SLOTS))
 
 
+def spans(every: DataFrame) -> DataFrame:
+    """The reading of every slot that has one, and the end of every source (``real`` false), each with the reading ``before`` it and the first slot ``start`` after that."""
+    bounds = every.groupBy("source_id").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.max("step").alias("step"), F.max("calendar_id").alias("calendar_id"))
+    nothing = F.lit(None).cast("double")
+    ends = bounds.select("source_id", (F.col("last") + F.col("step")).alias("slot"), "step", "calendar_id", nothing.alias("close"), nothing.alias("lvolume"), F.lit(False).alias("real"))
+    rows = readings(every).withColumn("real", F.lit(True)).unionByName(ends).withColumn("block", F.floor(F.col("slot") / (F.col("step") * BLOCK_SLOTS)))
+    rows = last_known(rows, ["source_id"], ["slot"], "block", F.struct("slot", "close", "lvolume"), "before", inclusive=False)
+    return rows.join(bounds.select("source_id", "first"), "source_id").withColumn("start", F.coalesce(F.col("before.slot") + F.col("step"), F.col("first"))).drop("first", "block")
+
+
+def gaps(rows: DataFrame) -> DataFrame:
+    """Every slot of the open hours (``slot_start``) between a row of ``spans`` and the reading before it, with the columns of that row."""
+    columns = rows.columns
+    pieces = rows.where(F.col("start") < F.col("slot")).select(*columns, F.explode(_span(F.col("start"), F.col("slot") - F.col("step"), F.col("step"))).alias("piece"))
+    last = F.least(F.col("piece") + F.col("step") * (BLOCK_SLOTS - 1), F.col("slot") - F.col("step"))
+    return pieces.select(*columns, F.explode(F.sequence("piece", last, "step")).alias("slot_start")).where(is_open(F.col("slot_start"), F.col("calendar_id")))
+
+
 def regular_grid(bars: DataFrame, feeds: DataFrame) -> DataFrame:
     """source_id, slot_start, close, volume, is_missing, volume_is_filled: every slot of the open hours of every source.
 
-    ``is_missing`` marks slots in which no row with a close falls; their close and volume are predicted.
+    ``is_missing`` marks slots in which no row with a close falls; their close and volume are predicted. The regression sees the
+    reading that counts of every slot in open hours, once.
     """
     every = slotted(bars, feeds)
-    beta = normal_equations(every.where("close is not null"))
-    bounds = every.groupBy("source_id").agg(F.min("slot").alias("first"), F.max("slot").alias("last"), F.max("step").alias("step"), F.max("calendar_id").alias("calendar_id"))
-    observed = readings(every).withColumn("real", F.lit(True))
-    ends = bounds.select("source_id", (F.col("last") + F.col("step")).alias("slot"), "step", "calendar_id", F.lit(None).cast("double").alias("close"), F.lit(None).cast("double").alias("lvolume"), F.lit(False).alias("real"))
-    rows = observed.unionByName(ends).withColumn("block", F.floor(F.col("slot") / (F.col("step") * BLOCK_SLOTS))).join(beta, "source_id", "left")
-    rows = rows.withColumns({"res_close": F.col("close") - predicted(F.col("slot"), "beta_close"), "res_volume": F.col("lvolume") - predicted(F.col("slot"), "beta_lvolume")})
-    rows = last_known(rows, ["source_id"], ["slot"], "block", F.struct("slot", "res_close", "res_volume"), "before", inclusive=False)
-    rows = rows.join(bounds.select("source_id", "first"), "source_id").withColumn("start", F.coalesce(F.col("before.slot") + F.col("step"), F.col("first")))
-    cols = ["source_id", "step", "calendar_id", "slot", "start", "real", "before", "res_close", "res_volume", "beta_close", "beta_lvolume"]
-    gaps = rows.where(F.col("start") < F.col("slot")).select(*cols, F.explode(_span(F.col("start"), F.col("slot") - F.col("step"), F.col("step"))).alias("piece"))
-    last = F.least(F.col("piece") + F.col("step") * (BLOCK_SLOTS - 1), F.col("slot") - F.col("step"))
-    gaps = gaps.select(*cols, F.explode(F.sequence("piece", last, "step")).alias("slot_start")).where(is_open(F.col("slot_start"), F.col("calendar_id")))
+    beta = normal_equations(readings(every).where(is_open(F.col("slot"), F.col("calendar_id"))))
+    rows = spans(every).join(beta, "source_id", "left")
+    rows = rows.withColumns({f"res_{y}": F.col(y) - predicted(F.col("slot"), f"beta_{y}") for y in ("close", "lvolume")} | {f"before_{y}": F.col(f"before.{y}") - predicted(F.col("before.slot"), f"beta_{y}") for y in ("close", "lvolume")})
     weight = (F.col("slot_start") - F.col("before.slot")) / (F.col("slot") - F.col("before.slot"))
 
-    def bridge(name: str) -> Column:
-        left, right = F.col(f"before.{name}"), F.col(name)
-        return F.coalesce(left * (1 - weight) + right * weight, left, right, F.lit(0.0))
+    def bridged(y: str) -> Column:
+        left, right = F.col(f"before_{y}"), F.col(f"res_{y}")
+        return predicted(F.col("slot_start"), f"beta_{y}") + F.coalesce(left * (1 - weight) + right * weight, left, right, F.lit(0.0))
 
-    volume = F.greatest(F.expm1(predicted(F.col("slot_start"), "beta_lvolume") + bridge("res_volume")), F.lit(0.0))
-    filled = gaps.select("source_id", "slot_start", (predicted(F.col("slot_start"), "beta_close") + bridge("res_close")).alias("close"), volume.alias("volume"), F.lit(True).alias("is_missing"), F.lit(True).alias("volume_is_filled"))
-    own = F.coalesce(F.col("lvolume"), predicted(F.col("slot"), "beta_lvolume") + F.coalesce("before.res_volume", F.lit(0.0)))
+    filled = gaps(rows).select("source_id", "slot_start", bridged("close").alias("close"), F.greatest(F.expm1(bridged("lvolume")), F.lit(0.0)).alias("volume"), F.lit(True).alias("is_missing"), F.lit(True).alias("volume_is_filled"))
+    own = F.coalesce(F.col("lvolume"), predicted(F.col("slot"), "beta_lvolume") + F.coalesce("before_lvolume", F.lit(0.0)))
     kept = rows.where("real").where(is_open(F.col("slot"), F.col("calendar_id"))).select("source_id", F.col("slot").alias("slot_start"), "close", F.greatest(F.expm1(own), F.lit(0.0)).alias("volume"), F.lit(False).alias("is_missing"), F.col("lvolume").isNull().alias("volume_is_filled"))
     return kept.unionByName(filled)
 
 
 def missing_slots(bars: DataFrame, feeds: DataFrame) -> DataFrame:
-    """source_id, slot_start of every slot of the grid in which no row with a close falls."""
-    return regular_grid(bars, feeds).where("is_missing").select("source_id", "slot_start")
+    """source_id, slot_start of the slots that ``regular_grid`` marks as missing: its gaps, without the fit that only fills them."""
+    return gaps(spans(slotted(bars, feeds))).select("source_id", "slot_start")
