@@ -124,7 +124,7 @@ def egarch(omega: float, alpha: float, gamma: float, beta: float):
             return s, {"volatility": None, "shock": None}
         shock = ret / math.exp(lv / 2)
         nxt = min(10.0, max(-20.0, omega + beta * lv + alpha * (abs(shock) - mean_abs) + gamma * shock))
-        s = s | {"lv": nxt, "shocks": [*s["shocks"], shock][-SHOCKS:]}
+        s = s | {"lv": nxt, "shocks": [*s.get("shocks", ()), shock][-SHOCKS:]}
         z = _running(s, "of_volatility", math.exp(lv / 2))
         return s, {"volatility": math.exp(lv / 2), "shock": shock, "zscore": z, "shock_mean": sum(s["shocks"]) / len(s["shocks"])}
 
