@@ -50,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
+    _ship(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -18,9 +18,9 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def test_json_values_and_inverse(spark):
-    payload = json.dumps({"values": [{"datetime": "2024-01-01 00:00:00", "open": "1", "high": "4", "low": "0.5", "close": "2", "volume": "x"}, {"datetime": "bad", "open": "1", "high": "1", "low": "1", "close": "1"}]})
+    payload = json.dumps({"values": [{"datetime": "2024-03-05 10:07:00", "open": "3.25", "high": "8", "low": "2.75", "close": "5.5", "volume": "x"}, {"datetime": "bad", "open": "1", "high": "1", "low": "1", "close": "1"}]})
     got = S.bars_from_json_values(spark.createDataFrame([(payload,), (None,), ("{",)], "p string"), "p", "1m").collect()
-    assert [(r.open, r.high, r.low, r.close, r.volume, r.turnover, r.interval) for r in got] == [(1.0, 4.0, 0.5, 2.0, None, None, "1m")]
+    assert [(r.open, r.high, r.low, r.close, r.volume, r.turnover, r.interval) for r in got] == [(3.25, 8.0, 2.75, 5.5, None, None, "1m")]
     inv = S.inverted(spark.createDataFrame([(1.0, 4.0, 0.5, 0.0)], "open double, high double, low double, close double")).first()
     assert (inv.open, inv.high, inv.low, inv.close) == (1.0, 2.0, 0.25, None)
 
