@@ -166,7 +166,7 @@ def test_sentence_units_table(spark):
 def test_long_words_and_frequent_words(spark):
     long = "q" * 90
     assert cut(f"The {long}. values held. We saw {long}. Ten of them.")[0] == f"The {long}. values held."
-    docs = [(i, f"It was Dr. Ann who came on day {i}. Then it rained.") for i in range(60)] + [(1, "He left. She did too."), (None, "One. Two.")]
+    docs = [(i, f"It was Dr. Ann who came too late in week {i} too. Then it rained.") for i in range(60)] + [(1, "He left. She did too."), (None, "One. Two.")]
     got = sentences.sentence_units(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
     counts = got.groupby("doc_id", dropna=False).size()
     assert counts[1] == 4 and counts[7] == 2 and len(got) == 60 * 2 + 2 + 2
