@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.windows import clip, col, div, lag, nz, roll, trailing, upto, values
+from chronoloom.functions.windows import clip, col, div, lag, ln, nz, quotient, roll, trailing, upto, values
 
 
 
@@ -200,11 +200,19 @@ def _rooted(x, n):
     return F.sqrt(F.abs(sma(x, n)))
 
 
-add("parkinson_20", lambda: _rooted(F.pow(F.log(bar.h / bar.l), 2) / (4 * F.log(F.lit(2.0))), 20), domain="volatility")
-add("garman_klass_20", lambda: _rooted(0.5 * F.pow(F.log(bar.h / bar.l), 2) - (2 * F.log(F.lit(2.0)) - 1) * F.pow(F.log(bar.c / bar.o), 2), 20), domain="volatility")
-add("rogers_satchell_20", lambda: _rooted(F.log(bar.h / bar.c) * F.log(bar.h / bar.o) + F.log(bar.l / bar.c) * F.log(bar.l / bar.o), 20), domain="volatility")
-add("overnight", lambda: F.log(div(bar.o, nz(lag(bar.c)))), domain="return")
-add("yang_zhang_20", lambda: F.sqrt(F.abs(roll(F.var_samp, "overnight", 20) + 0.34 / (1.34 + 21 / 19) * roll(F.var_samp, F.log(bar.c / bar.o), 20) + (1 - 0.34 / (1.34 + 21 / 19)) * sma(F.log(bar.h / bar.c) * F.log(bar.h / bar.o) + F.log(bar.l / bar.c) * F.log(bar.l / bar.o), 20))), "overnight", domain="volatility")
+def _log_ratio(x: str, y: str) -> Column:
+    return ln(quotient(getattr(bar, x), getattr(bar, y)))
+
+
+def _rogers_satchell() -> Column:
+    return _log_ratio("h", "c") * _log_ratio("h", "o") + _log_ratio("l", "c") * _log_ratio("l", "o")
+
+
+add("parkinson_20", lambda: _rooted(F.pow(_log_ratio("h", "l"), 2) / (4 * F.log(F.lit(2.0))), 20), domain="volatility")
+add("garman_klass_20", lambda: _rooted(0.5 * F.pow(_log_ratio("h", "l"), 2) - (2 * F.log(F.lit(2.0)) - 1) * F.pow(_log_ratio("c", "o"), 2), 20), domain="volatility")
+add("rogers_satchell_20", lambda: _rooted(_rogers_satchell(), 20), domain="volatility")
+add("overnight", lambda: ln(div(bar.o, nz(lag(bar.c)))), domain="return")
+add("yang_zhang_20", lambda: F.sqrt(F.abs(roll(F.var_samp, "overnight", 20) + 0.34 / (1.34 + 21 / 19) * roll(F.var_samp, _log_ratio("c", "o"), 20) + (1 - 0.34 / (1.34 + 21 / 19)) * sma(_rogers_satchell(), 20))), "overnight", domain="volatility")
 add("pressure_20", lambda: sma(F.col("candle_sign") * F.col("volume_ratio_20"), 20), "candle_sign", "volume_ratio_20", domain="composite")
 
 

@@ -54,6 +54,17 @@ def div(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def quotient(a: str | Column, b: str | Column) -> Column:
+    """Quotient as IEEE 754 and the SQL have it: infinite over 0, NaN for 0 over 0, NULL only for NULL."""
+    return F.coalesce(div(a, b), col(a) * F.pow(col(b), F.lit(-1.0)))
+
+
+def ln(x: str | Column) -> Column:
+    """Natural logarithm that is minus infinite at 0 and NaN below, where Spark has NULL."""
+    x = col(x)
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 
