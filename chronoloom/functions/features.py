@@ -95,8 +95,8 @@ def total(x, n):
     return roll(F.sum, x, n)
 
 
-add("ret", lambda: F.log(div(bar.c, nz(lag(bar.c)))), domain="return")
-add("roc_6", lambda: div(bar.c - lag(bar.c, 6), lag(bar.c, 6)))
+add("ret", lambda: ln(div(bar.c, nz(lag(bar.c)))), domain="return")
+add("roc_6", lambda: quotient(bar.c - lag(bar.c, 6), lag(bar.c, 6)))
 add("roc_accel_6", lambda: F.col("roc_6") - lag("roc_6", 6), "roc_6")
 add("return_std_20", lambda: sd("ret", 20), "ret", domain="volatility")
 add("pct_b_20", lambda: div(bar.c - (sma(bar.c, 20) - 2 * sd(bar.c, 20)), nz(4 * sd(bar.c, 20))))
@@ -113,7 +113,7 @@ add("premium_range_8", lambda: F.max(bar.c - bar.o).over(trailing(8)) - F.min(ba
 add("vwap", lambda: div(bar.t, nz(bar.v)))
 add("basis", lambda: div(bar.c - F.col("vwap"), nz(F.col("vwap"))), "vwap")
 add("mark_close_range", lambda: div(bar.h - bar.l, nz(F.col("vwap"))), "vwap")
-add("mark_return_diff", lambda: F.log(div("vwap", nz(lag("vwap")))) - r(), "vwap", "ret")
+add("mark_return_diff", lambda: ln(div("vwap", nz(lag("vwap")))) - r(), "vwap", "ret")
 add("close_vs_mark_vol_20", lambda: div(sd("ret", 20), nz(sd("mark_return_diff", 20))), "ret", "mark_return_diff", domain="volatility")
 add("oi_pct_change", lambda: div(bar.t - lag(bar.t), nz(lag(bar.t))), domain="interest")
 add("oi_to_sma_20", lambda: div(bar.t, nz(sma(bar.t, 20))), domain="interest")
@@ -132,7 +132,7 @@ add("stoch_d_14", lambda: sma("stoch_k_14", 3), "stoch_k_14")
 add("volume_roc_6", lambda: div(bar.v - lag(bar.v, 6), nz(lag(bar.v, 6))), domain="volume")
 add("volume_ratio_20", lambda: div(bar.v, nz(sma(bar.v, 20))), domain="volume")
 add("vwap_deviation", lambda: div(bar.c - F.col("vwap"), nz(F.col("vwap"))), "vwap")
-add("vwap_return", lambda: F.log(div("vwap", nz(lag("vwap")))), "vwap")
+add("vwap_return", lambda: ln(div("vwap", nz(lag("vwap")))), "vwap")
 add("cycle_position", lambda: F.floor(F.hour("ts") / 8).cast("int"), domain="calendar")
 add("weekday", lambda: F.weekday("ts"), domain="calendar")
 add("range_expansion_20", lambda: div(bar.h - bar.l, nz(sma(bar.h - bar.l, 20))), domain="volatility")
@@ -143,18 +143,18 @@ add("vol_momentum_20", lambda: clip(div(F.col("vol_10") - lag("vol_10", 10), nz(
 
 
 def _skew(n):
-    g1 = roll(F.skewness, "ret", n)
+    g1 = F.nullif(roll(F.skewness, "ret", n), F.lit(float("nan")))  # infinite returns have none
     return clip((n * (n - 1)) ** 0.5 / (n - 2) * g1, -5, 5)
 
 
 def _kurt(n):
-    g2 = roll(F.kurtosis, "ret", n)
+    g2 = F.nullif(roll(F.kurtosis, "ret", n), F.lit(float("nan")))
     return clip((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), -10, 30)
 
 
 add("skew_30", lambda: _skew(30), "ret", domain="distribution")
 add("kurtosis_30", lambda: _kurt(30), "ret", domain="distribution")
-add("max_drawdown_20", lambda: F.aggregate(values(bar.c, 20), F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("dd")), lambda s, x: F.struct(F.greatest(s["peak"], x).alias("peak"), F.least(s["dd"], x / F.greatest(s["peak"], x) - 1).alias("dd")), lambda s: s["dd"]), domain="risk")
+add("max_drawdown_20", lambda: F.aggregate(values(bar.c, 20), F.struct(F.lit(float("-inf")).alias("peak"), F.lit(float("nan")).alias("dd")), lambda s, x: F.struct(F.greatest(s["peak"], x).alias("peak"), F.least(s["dd"], quotient(x, F.greatest(s["peak"], x)) - 1).alias("dd")), lambda s: s["dd"]), domain="risk")
 add("sharpe_20", lambda: clip(div(sma("ret", 20), nz(sd("ret", 20))) * 20**0.5, -5, 5), "ret", domain="risk")
 
 
@@ -165,7 +165,7 @@ def _sortino(n):
 
 
 add("sortino_20", lambda: _sortino(20), "ret", domain="risk")
-add("calmar_20", lambda: div(div(bar.c - lag(bar.c, 20), lag(bar.c, 20)), nz(F.abs(F.col("max_drawdown_20")))), "max_drawdown_20", domain="risk")
+add("calmar_20", lambda: div(quotient(bar.c - lag(bar.c, 20), lag(bar.c, 20)), nz(F.abs(F.col("max_drawdown_20")))), "max_drawdown_20", domain="risk")
 add("ret_lag", lambda: lag("ret"), "ret", domain="return")
 
 
@@ -238,7 +238,7 @@ def _top_mean(x, n, largest: bool):
     return F.when(F.count(x).over(trailing(n, 1)) == n, F.aggregate(F.slice(ranked, 1, k), F.lit(0.0), lambda a, b: a + b) / k)
 
 
-add("past_high_20", lambda: div(F.when(F.count(bar.h).over(trailing(20, 1)) == 20, F.avg(bar.h).over(trailing(20, 1))) - bar.c, bar.c))
-add("past_low_20", lambda: div(bar.c - F.when(F.count(bar.l).over(trailing(20, 1)) == 20, F.avg(bar.l).over(trailing(20, 1))), bar.c))
-add("past_top_40", lambda: div(_top_mean(bar.h, 40, True) - bar.c, bar.c))
-add("past_bottom_40", lambda: div(bar.c - _top_mean(bar.l, 40, False), bar.c))
+add("past_high_20", lambda: quotient(F.when(F.count(bar.h).over(trailing(20, 1)) == 20, F.avg(bar.h).over(trailing(20, 1))) - bar.c, bar.c))
+add("past_low_20", lambda: quotient(bar.c - F.when(F.count(bar.l).over(trailing(20, 1)) == 20, F.avg(bar.l).over(trailing(20, 1))), bar.c))
+add("past_top_40", lambda: quotient(_top_mean(bar.h, 40, True) - bar.c, bar.c))
+add("past_bottom_40", lambda: quotient(bar.c - _top_mean(bar.l, 40, False), bar.c))

@@ -52,3 +52,18 @@ def test_quotient_and_logarithm_as_in_sql(spark):
 def test_range_volatility_estimators(spark, low, any_price):
     assert against_sql(spark, low, "f37_range_volatility_estimators") == ""
     assert against_sql(spark, any_price, "f37_range_volatility_estimators") == ""
+
+
+def test_feature_set(spark, low):
+    assert against_sql(spark, low, "f42_feature_set") == ""
+
+
+@pytest.mark.parametrize("name", ["f01_log_return", "f02_rate_of_change", "f05_return_std", "f14_close_vs_mark_volatility", "f20_vwap", "f24_max_drawdown", "f25_sharpe", "f27_calmar", "f28_autocorrelation", "f36_amihud", "f38_hurst", "f40_past_distances"])
+def test_families_of_the_feature_set(spark, any_price, name):
+    assert against_sql(spark, any_price, name) == ""
+
+
+def test_shape_of_infinite_returns_is_unknown(spark, any_price):
+    """DuckDB stops at them."""
+    rows = entry.queries()["f23_skew_kurtosis"](spark, any_price).where(f"ts > '{T0 + dt.timedelta(hours=60)}' and ts < '{T0 + dt.timedelta(hours=89)}'").collect()
+    assert rows and all(r.skew_30 is None and r.kurtosis_30 is None for r in rows)
