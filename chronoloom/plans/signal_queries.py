@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import signals
-from chronoloom.functions.windows import lag, lead, ordered, roll, trailing
+from chronoloom.functions.windows import lag, lead, ln, ordered, quotient, roll, trailing
 from chronoloom.operators import relational as R
 from chronoloom.operators.grid import is_open
 from chronoloom.plans.relational_queries import Query
@@ -167,7 +167,7 @@ _G9 = "v as (select *, avg(ln(high / low)) over (partition by symbol order by ts
 
 @query(B + f", {_G9} select symbol, ts, case when nh >= close * (1 + 1.5 * vol) and nl <= close * (1 - vol) then case when nc > close then 2 else 0 end when nh >= close * (1 + 1.5 * vol) then 2 when nl <= close * (1 - vol) then 0 when nh is null then null else 1 end as label from v where n = 21")
 def g09_range_barriers(spark, d):
-    v = _bars(spark, d).withColumns({"vol": roll(F.avg, F.log(F.col("high") / F.col("low")), 21), "nh": lead("high"), "nl": lead("low"), "nc": lead("close")}).where("vol is not null")
+    v = _bars(spark, d).withColumns({"vol": roll(F.avg, ln(quotient("high", "low")), 21), "nh": lead("high"), "nl": lead("low"), "nc": lead("close")}).where("vol is not null")
     c = F.col("close")
     up, down = F.col("nh") >= c * (1 + 1.5 * F.col("vol")), F.col("nl") <= c * (1 - F.col("vol"))
     return v.select("symbol", "ts", F.when(up & down, F.when(F.col("nc") > c, 2).otherwise(0)).when(up, 2).when(down, 0).when(F.col("nh").isNotNull(), 1).alias("label"))

@@ -67,3 +67,8 @@ def test_shape_of_infinite_returns_is_unknown(spark, any_price):
     """DuckDB stops at them."""
     rows = entry.queries()["f23_skew_kurtosis"](spark, any_price).where(f"ts > '{T0 + dt.timedelta(hours=60)}' and ts < '{T0 + dt.timedelta(hours=89)}'").collect()
     assert rows and all(r.skew_30 is None and r.kurtosis_30 is None for r in rows)
+
+
+def test_range_barriers(spark, low, any_price):
+    assert against_sql(spark, low, "g09_range_barriers") == ""
+    assert against_sql(spark, any_price, "g09_range_barriers") == ""
