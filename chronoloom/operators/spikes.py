@@ -2,8 +2,8 @@
 
 Every reading gets, per measured field, a score from an isolation forest that is grown for its source on level, difference,
 seasonal and run-length features; explicit physical-limit rules are applied to every reading as well. A case is a value that breaks
-a physical limit, or one whose score lies above the threshold of its source and field: ``ABOVE`` of the way from the median
-score of the source's training readings to 1. Nothing else decides.
+a physical limit, or one whose score lies above the threshold of its source and field: ``ABOVE`` of the way from the exact median
+score of all readings of the source to 1. Nothing else decides.
 
 The features are made so that the genuine things lie close together: all but run length are multiples of the surroundings that
 a busy stretch, a price level shift or the daily cycle carry along. A tree draws its cuts from the range of its readings,
@@ -11,9 +11,9 @@ widened upwards by ``PAD`` at every node, so that a reading far outside is isola
 hold none like it; few readings a tree keep frozen runs from hiding behind each other.
 
 Sources are cut into blocks of a fixed number of slots with a margin of readings on both sides, so a source that holds
-most rows is scored by many tasks. A forest takes ``TREES`` samples of at most ``SAMPLE`` readings, as isolation forests do;
-they are drawn from the ``TRAIN_BLOCKS`` blocks of the source that come first in the order of a hash. Every reading is scored;
-the usual score is the median of ``USUAL`` training readings.
+most rows is scored by many tasks. As the method has it, each of the ``TREES`` trees of a forest is grown on ``SAMPLE`` readings
+of its own; all readings of all blocks of the source are in the draw, with equal chances. Every reading is scored in full, and
+the usual score is counted from all of them.
 
 Defined results: NULL and NaN values are no cases and take no part in medians; rows with NULL source_id or timestamp are only
 held against the physical limits; repeated readings are judged each and copies of a case are cases; empty input gives
@@ -35,7 +35,6 @@ from chronoloom.sources.tables import micros
 
 FIELDS = ("high", "low", "volume")
 TREES, SAMPLE, DEPTH = 80, 32, 8
-TRAIN_BLOCKS = 4
 BLOCK_SLOTS, MARGIN_SLOTS = 8_192, 96
 #: Readings on each side that are the surrounding time of a reading, its nearest ones, and those a frozen value is looked for in.
 NEAR, FOLLOW_NEAR, RUN_NEAR = 32, 6, 12
@@ -46,10 +45,8 @@ PAD = np.array([80, 80, 80, 8, 8], dtype=np.float32)
 FEATURES = len(PAD)
 #: Share of the way from the usual score of a source to 1 from which a score is a case.
 ABOVE = 1 / 3
-#: Training readings whose median score is the usual one.
-USUAL = 1_024
-#: Up to so many training blocks of all sources are sent to every task; beyond, they are joined by a shuffle.
-SENT_BLOCKS = 100_000
+#: Readings that a source's forests are grown on; so many, and ten standard deviations more, are expected to leave the blocks.
+DRAWN = TREES * SAMPLE
 
 
 def bar_columns(bars: DataFrame) -> DataFrame:
@@ -154,7 +151,10 @@ def average_path(n: int) -> float:
 
 
 def grow_forest(x: np.ndarray, seed: int) -> list[np.ndarray]:
+    """Trees on readings of their own, or, where there are too few for that, on samples that share some."""
     rng = np.random.default_rng(seed)
+    if len(x) >= DRAWN:
+        return [grow(x[part], rng) for part in np.split(rng.permutation(len(x))[:DRAWN], TREES)]
     return [grow(x[rng.choice(len(x), SAMPLE, replace=len(x) < SAMPLE)], rng) for _ in range(TREES)]
 
 
@@ -204,13 +204,13 @@ def block_summary(bars: DataFrame) -> DataFrame:
     known = {"high": F.when((F.col("high") > F.greatest("open", "close")) & (F.greatest("open", "close") > 0), F.log(up)), "low": F.when((F.col("low") > 0) & (F.col("low") < F.least("open", "close")), F.log(down)), "volume": F.when(F.col("volume") > 0, F.log("volume"))}
     hour = F.pmod(F.floor(F.col("at") / F.lit(3_600_000_000)), F.lit(24)).alias("hour")
     own = blocked(bars).where("own")
-    return own.groupBy("source_id", "block", hour).agg(*(f(x).alias(f"{p}_{k}") for k, x in known.items() for p, f in (("s", F.sum), ("n", F.count))))
+    return own.groupBy("source_id", "block", hour).agg(*(f(x).alias(f"{p}_{k}") for k, x in known.items() for p, f in (("s", F.sum), ("n", F.count))), F.count("*").alias("n"))
 
 
 def source_profile(summary: DataFrame) -> DataFrame:
-    """Per source and hour of day the mean logarithm of wicks and volume, from all readings."""
-    by_hour = summary.groupBy("source_id", "hour").agg(*(F.try_divide(F.sum(f"s_{k}"), F.sum(f"n_{k}")).alias(k) for k in FIELDS))
-    return by_hour.groupBy("source_id").agg(F.collect_list(F.struct("hour", *FIELDS)).alias("hours"))
+    """Per source its number of readings, and by hour of day the mean logarithm of wicks and volume, from all of them."""
+    by_hour = summary.groupBy("source_id", "hour").agg(*(F.try_divide(F.sum(f"s_{k}"), F.sum(f"n_{k}")).alias(k) for k in FIELDS), F.sum("n").alias("n"))
+    return by_hour.groupBy("source_id").agg(F.collect_list(F.struct("hour", *FIELDS)).alias("hours"), F.sum("n").alias("n"))
 
 
 def _profile(row: pd.Series) -> tuple[dict[str, np.ndarray], dict[str, float]]:
@@ -227,63 +227,110 @@ def _of(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"source_id": "of_source", "block": "of_block"})
 
 
-def train(bars: DataFrame, summary: DataFrame, profile: DataFrame) -> DataFrame:
-    """source_id, forest (packed forests of all fields), usual (median training score a field), hours."""
-    order = Window.partitionBy("source_id").orderBy(F.xxhash64("block"), "block")  # one row per block
-    first = summary.select("source_id", "block").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_BLOCKS).drop("k")
-    first = cut(first)
-    picked = _of(first)
-    if first.count() <= SENT_BLOCKS:
-        picked = F.broadcast(picked)
-    chosen = blocked(bars).join(picked, (F.col("source_id") == F.col("of_source")) & (F.col("block") == F.col("of_block")), "left_semi")
-    pieces = _of(first.join(profile, "source_id"))
+def lots(pdf: pd.DataFrame) -> np.ndarray:
+    """A 64-bit number for every reading, as if by chance, from its time and row_id."""
+    ids = pdf["row_id"].fillna(-1).to_numpy().astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        x = pdf["at"].to_numpy().astype(np.int64).view(np.uint64) + ids * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(31))
 
-    def sample(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+
+def train(bars: DataFrame, pieces: DataFrame, profile: DataFrame) -> DataFrame:
+    """source_id, forest (packed forests of all fields), hours; grown on the readings of the source with the lowest lots."""
+
+    def draw(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=["source_id", "lot", "x"])
         if left.empty or right.empty:
-            return pd.DataFrame(columns=["source_id", "x"])
+            return none
         left = left.sort_values(["at", "row_id"])
+        lot, share = lots(left), (DRAWN + 10 * DRAWN**0.5) / int(right["n"].iloc[0])
+        take = left["own"].to_numpy(dtype=bool) & ((lot < np.uint64(share * 2.0**64)) if share < 1 else True)
+        if not take.any():
+            return none
         made = features(left, *_profile(right.iloc[0]))
-        x = np.concatenate([made[name] for name in FIELDS], axis=1)[left["own"].to_numpy(dtype=bool)]
-        return pd.DataFrame([(key[0], x[i : i + 512].tobytes()) for i in range(0, len(x), 512)], columns=["source_id", "x"])
+        x = np.concatenate([made[name] for name in FIELDS], axis=1)[take]
+        return pd.DataFrame({"source_id": [key[0]], "lot": [lot[take].tobytes()], "x": [x.tobytes()]})
 
-    drawn = chosen.groupBy("source_id", "block").cogroup(pieces.groupBy("of_source", "of_block")).applyInPandas(sample, "source_id string, x binary")
+    drawn = blocked(bars).groupBy("source_id", "block").cogroup(pieces.groupBy("of_source", "of_block")).applyInPandas(draw, "source_id string, lot binary, x binary")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES * len(FIELDS)) for b in sorted(pdf["x"])])
+        lot = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in pdf["lot"]])
+        x = np.concatenate([np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES * len(FIELDS)) for b in pdf["x"]])
+        x = x[np.lexsort((*x.T, lot))[:DRAWN]]
         seed = int.from_bytes(str(key[0]).encode()[-6:], "big")
-        of_field = [x[:, FEATURES * i : FEATURES * (i + 1)] for i in range(len(FIELDS))]
-        forests = [grow_forest(part, seed + i) for i, part in enumerate(of_field)]
-        some = np.random.default_rng(seed).choice(len(x), USUAL, replace=len(x) < USUAL)
-        usual = [float(np.median(score(f, part[some]))) for f, part in zip(forests, of_field, strict=True)]
-        return pd.DataFrame({"source_id": [key[0]], "forest": [pack_forests(forests)], "usual": [usual]})
+        forests = [grow_forest(x[:, FEATURES * i : FEATURES * (i + 1)], seed + i) for i in range(len(FIELDS))]
+        return pd.DataFrame({"source_id": [key[0]], "forest": [pack_forests(forests)]})
+
+    return drawn.groupBy("source_id").applyInPandas(fit, "source_id string, forest binary").join(profile, "source_id")
 
-    return drawn.groupBy("source_id").applyInPandas(fit, "source_id string, forest binary, usual array<double>").join(profile, "source_id")
+
+def usual_scores(judged: DataFrame) -> DataFrame:
+    """of_source, of_field, usual: the exact median of all scores, of which ``scored`` has a packed row and its counts a block.
+
+    The bits of positive floats are in the order of the floats: they are counted by their upper half, which the blocks did, and
+    then by the lower half in the one or two cells that hold the middle.
+    """
+    w = Window.partitionBy("source_id", "field_name")  # one row per cell, 65,536 at most
+    counted = judged.where("cell is not null").groupBy("source_id", "field_name", "cell").agg(F.sum("n").alias("n"))
+    before, total = F.sum("n").over(w.orderBy("cell")) - F.col("n"), F.sum("n").over(w)
+    ranked = counted.select("*", before.alias("before"), F.floor((total - 1) / 2).alias("lo"), F.floor(total / 2).alias("hi"))
+    middle = ranked.where("before + n > lo and before <= hi").select(F.col("source_id").alias("of_source"), F.col("field_name").alias("of_field"), "cell", "before", "lo", "hi")
+    held = judged.where("scores is not null").select("source_id", "field_name", "scores").join(middle, (F.col("source_id") == F.col("of_source")) & (F.col("field_name") == F.col("of_field")))
+
+    def lower(parts):
+        for pdf in parts:
+            out = []
+            for row in pdf.itertuples():
+                bits = np.frombuffer(row.scores, dtype=np.uint32)
+                bits, n = np.unique(bits[bits >> 16 == row.cell], return_counts=True)
+                out.append(pd.DataFrame({"of_source": row.of_source, "of_field": row.of_field, "cell": row.cell, "before": row.before, "lo": row.lo, "hi": row.hi, "x": bits.view(np.float32).astype(float), "n": n}))
+            if out:
+                yield pd.concat(out)
+
+    key = ["of_source", "of_field", "cell", "before", "lo", "hi"]
+    fine = held.select(*key, "scores").mapInPandas(lower, "of_source string, of_field string, cell long, before long, lo long, hi long, x double, n long").groupBy(*key, "x").agg(F.sum("n").alias("n"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("of_source", "of_field", "cell").orderBy("x"))
+    times = sum(((F.col("end") > F.col(k)) & (F.col("end") - F.col("n") <= F.col(k))).cast("int") for k in ("lo", "hi"))
+    return fine.withColumn("end", end).groupBy("of_source", "of_field").agg((F.sum(F.col("x") * times) / 2).alias("usual"))
 
 
 def scored(bars: DataFrame, every: bool = False, above: float = ABOVE) -> DataFrame:
     """row_id, field_name, score of the readings whose score lies above the threshold of their source (``every``: of all readings)."""
     summary = cut(block_summary(bars))
-    models = train(bars, summary, source_profile(summary))
-    pieces = _of(summary.select("source_id", "block").distinct().join(models, "source_id"))
+    profile = source_profile(summary)
+    blocks = summary.select("source_id", "block").distinct()
+    models = train(bars, _of(blocks.join(profile, "source_id")), profile)
+    pieces = _of(blocks.join(models, "source_id"))
+    least = -np.inf if every else min(above, 1.0)  # no threshold lies lower, as scores lie between 0 and 1
 
     def judge(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"row_id": pd.Series(dtype="int64"), "field_name": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame(columns=["source_id", "field_name", "row_id", "score", "scores", "cell", "n"])
         left = left.sort_values(["at", "row_id"])
         made = features(left, *_profile(right.iloc[0]))
-        forests, usual = unpack_forests(bytes(right["forest"].iloc[0])), right["usual"].iloc[0]
-        ids, own = left["row_id"].to_numpy(), left["own"].to_numpy(dtype=bool)
-        out = [empty]
+        forests = unpack_forests(bytes(right["forest"].iloc[0]))
+        ids, own = left["row_id"].astype("Int64").array, left["own"].to_numpy(dtype=bool)
+        out = []
         for i, name in enumerate(FIELDS):
             known = left[name].notna().to_numpy() & own
-            limit = 0.0 if every else usual[i] + above * (1 - usual[i])
-            s = score(forests[i], made[name][known], limit)
-            take = s >= limit
-            out.append(pd.DataFrame({"row_id": ids[known][take], "field_name": name, "score": s[take]}))
+            s = score(forests[i], made[name][known]).astype(np.float32)
+            take = s >= least
+            cells, n = np.unique(s.view(np.uint32) >> 16, return_counts=True)
+            high, rest = int(take.sum()), len(cells)
+            columns = {"row_id": [*ids[known][take], *[None] * (1 + rest)], "score": [*s[take].tolist(), *[None] * (1 + rest)], "scores": [*[None] * high, s.tobytes(), *[None] * rest]}
+            counted = {"cell": [*[None] * (high + 1), *cells.tolist()], "n": [*[None] * (high + 1), *n.tolist()]}
+            out.append(pd.DataFrame({k: pd.array(v, dtype="Int64") if k in ("row_id", "cell", "n") else pd.Series(v, dtype=object) for k, v in (columns | counted).items()}).assign(source_id=key[0], field_name=name))
         return pd.concat(out)
 
-    return blocked(bars).groupBy("source_id", "block").cogroup(pieces.groupBy("of_source", "of_block")).applyInPandas(judge, "row_id long, field_name string, score double")
+    judged = blocked(bars).groupBy("source_id", "block").cogroup(pieces.groupBy("of_source", "of_block")).applyInPandas(judge, "source_id string, field_name string, row_id long, score double, scores binary, cell long, n long")
+    if every:
+        return judged.where("score is not null").select("row_id", "field_name", "score")
+    judged = cut(judged)
+    usual = usual_scores(judged)
+    high = judged.where("score is not null").join(usual, (F.col("source_id") == F.col("of_source")) & (F.col("field_name") == F.col("of_field")))
+    return high.where(F.col("score") >= F.col("usual") + above * (1 - F.col("usual"))).select("row_id", "field_name", "score")
 
 
 def implausible(raw: DataFrame, above: float = ABOVE) -> DataFrame:
